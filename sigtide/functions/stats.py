@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -25,20 +27,6 @@ def avg_rank(value: Column | str, *partition: Column | str) -> Column:
     return F.rank().over(spec) + (F.count(F.lit(1)).over(peers) - 1) / 2.0
 
 
-def array_midranks(values: Column) -> Column:
-    """Mean ranks of the elements of a short array.
-
-    First and last position in the sorted array come from two native scans, so a window of 63
-    values needs no exploding and no extra shuffle.
-    """
-    return let(
-        F.array_sort(values),
-        lambda up: let(
-            F.reverse(up),
-            lambda down: F.transform(values, lambda v: (
-                F.array_position(up, v) + F.size(up) + 1 - F.array_position(down, v)) / 2.0)))
-
-
 def rank_correlation_sums(n: Column, xy: Column, xx: Column, yy: Column) -> Column:
     """Pearson correlation of ranks 1..n from their product sums; NULL for constant input.
 
@@ -49,20 +37,52 @@ def rank_correlation_sums(n: Column, xy: Column, xx: Column, yy: Column) -> Colu
     return F.try_divide(xy - centre, F.sqrt((xx - centre) * (yy - centre)))
 
 
-def array_spearman(pairs: Column, x: str, y: str) -> Column:
-    """Spearman correlation of an array of structs without NULL fields."""
-    zero = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
-    ranks = F.zip_with(
-        array_midranks(F.transform(pairs, lambda p: p[x])),
-        array_midranks(F.transform(pairs, lambda p: p[y])),
-        lambda a, b: F.struct(a.alias("x"), b.alias("y")))
-    n = F.size(pairs).cast("double")
-    return F.aggregate(
-        ranks, zero,
-        lambda acc, r: F.struct((acc["xy"] + r["x"] * r["y"]).alias("xy"),
-                                (acc["xx"] + r["x"] * r["x"]).alias("xx"),
-                                (acc["yy"] + r["y"] * r["y"]).alias("yy")),
-        lambda acc: rank_correlation_sums(n, acc["xy"], acc["xx"], acc["yy"]))
+def spearman_kernel() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Row-wise Spearman correlation of two equally shaped matrices; NaN marks missing values.
+
+    Comparing a row with itself gives the ranks (ties averaged) without a sort. Constant rows give
+    NaN. The kernel is a closure, so it travels to the workers by value and they need no copy of
+    this package.
+    """
+    def midranks(values: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        v = np.where(gone, np.nan, values)
+        below = (v[:, None, :] < v[:, :, None]).sum(axis=2)
+        same = (v[:, None, :] == v[:, :, None]).sum(axis=2)
+        return np.where(gone, 0.0, below + (same + 1) / 2.0)
+
+    def spearman(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        missing = np.isnan(x) | np.isnan(y)
+        out = np.empty(len(x))
+        for start in range(0, len(x), 512):  # bounds the m x w x w comparison to a few MB
+            part = slice(start, start + 512)
+            a, b = midranks(x[part], missing[part]), midranks(y[part], missing[part])
+            n = (~missing[part]).sum(axis=1)
+            centre = n * (n + 1.0) * (n + 1.0) / 4.0
+            scale = ((a * a).sum(axis=1) - centre) * ((b * b).sum(axis=1) - centre)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[part] = ((a * b).sum(axis=1) - centre) / np.sqrt(scale)
+        return out
+
+    return spearman
+
+
+def window_spearman(x: Column | str, y: Column | str) -> Column:
+    """Rank correlation of two array columns of one fixed length; a NULL array gives NULL.
+
+    A column expression for this costs quadratic interpreted comparisons per window, and exploding
+    costs a copy of every row per window. Arrow batches and one matrix comparison avoid both.
+    """
+    spearman = spearman_kernel()
+
+    def correlate(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=xs.index)
+        full = xs.notna()
+        if full.any():
+            out[full] = spearman(np.stack(xs[full].to_list()), np.stack(ys[full].to_list()))
+        return out
+
+    rho = F.pandas_udf(correlate, "double")(x, y)
+    return F.when(~F.isnan(rho), rho)
 
 
 def _series(terms: Column, first: Column, ratio: Callable[[Column], Column]) -> Column:

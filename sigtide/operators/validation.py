@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigtide import constants as K
 from sigtide.functions.parse import real
 from sigtide.functions.stats import (
-    array_spearman, avg_rank, calendar_window, rank_correlation_sums, t_two_sided_p)
+    avg_rank, calendar_window, rank_correlation_sums, t_two_sided_p, window_spearman)
 
 
 def signed_signal(aligned: DataFrame, mapping: dict[str, tuple[str, float]] | None = None
@@ -51,8 +51,9 @@ def ic_summary(aligned: DataFrame, mapping=None, horizons: Sequence[int] = K.HOR
     ranked = ic_pairs(aligned, mapping, horizons).withColumns({
         "_rs": avg_rank("signal", *key), "_rr": avg_rank("ret", *key),
         "_n": F.row_number().over(history),
-        "_w": F.collect_list(F.struct("signal", "ret")).over(frame)})
-    rolling = F.when(F.col("_n") > window, array_spearman(F.col("_w"), "signal", "ret"))
+        "_ws": F.collect_list("signal").over(frame), "_wr": F.collect_list("ret").over(frame)})
+    full = F.col("_n") > window
+    rolling = window_spearman(F.when(full, F.col("_ws")), F.when(full, F.col("_wr")))
     total = ranked.withColumn("_rho", rolling).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_obs"),
         F.sum(F.col("_rs") * F.col("_rr")).alias("_xy"),
@@ -76,19 +77,22 @@ def rolling_ic(aligned: DataFrame, mapping=None, window: int = K.ROLLING_WINDOW,
                digits: int = 4) -> DataFrame:
     """IC over the ``window`` rows before each date; missing values are skipped inside a window.
 
-    Windows with fewer than ``min_obs`` usable rows or a constant side give no row. The frame is
-    collected as a 63-element array and ranked in place, instead of copying every row 63 times.
+    Windows with fewer than ``min_obs`` usable rows or a constant side give no row. A frame is
+    collected as a pair of ``window``-long arrays (missing as NaN), so rows are not copied once
+    per window they belong to.
     """
     history = calendar_window("date", "ticker")
+    frame = history.rowsBetween(-window, -1)
     rows = signed_signal(aligned, mapping).select(
         "ticker", "date", "signal", real(F.col(f"fwd_{horizon}d")).alias("ret"))
+    nan = F.lit(float("nan"))
     rows = rows.withColumns({
         "_n": F.row_number().over(history),
-        "_w": F.collect_list(F.struct("signal", "ret")).over(history.rowsBetween(-window, -1))})
-    usable = F.filter("_w", lambda p: p["signal"].isNotNull() & p["ret"].isNotNull())
-    rho = (rows.where(F.col("_n") > window).withColumn("_w", usable)
-           .where(F.size("_w") >= min_obs)
-           .withColumn("rolling_ic", array_spearman(F.col("_w"), "signal", "ret")))
+        "_usable": F.count_if(F.col("signal").isNotNull() & F.col("ret").isNotNull()).over(frame),
+        "_ws": F.collect_list(F.coalesce("signal", nan)).over(frame),
+        "_wr": F.collect_list(F.coalesce("ret", nan)).over(frame)})
+    rho = rows.where((F.col("_n") > window) & (F.col("_usable") >= min_obs)).withColumn(
+        "rolling_ic", window_spearman("_ws", "_wr"))
     return rho.where(F.col("rolling_ic").isNotNull()).select(
         "date", "ticker", F.round("rolling_ic", digits).alias("rolling_ic"))
 

@@ -49,15 +49,20 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         day_of(F.col("doc_id")).alias("date"))
 
 
-def news_events(spark: SparkSession, sf: str) -> DataFrame:
-    """News events with their metadata JSON. Errors are hostile, views carry no score."""
+def news_metadata() -> Column:
+    """Metadata JSON of an event: errors are hostile, views carry no Goldstein value."""
     size = F.least(F.col("value") / 10.0, F.lit(10.0))
     goldstein = F.when(F.col("event_type") == "error", -size).when(
         F.col("event_type") != "view", size)
+    tone = json_double(F.col("props"), "k") - 50.0 + F.col("value") / 1000.0
+    return F.to_json(F.struct(goldstein.alias("goldstein_scale"), tone.alias("tone")))
+
+
+def news_events(spark: SparkSession, sf: str) -> DataFrame:
+    """News events with their metadata JSON."""
     return table(spark, sf, "events").select(
         "event_id", F.to_date("ts").alias("date"), F.col("ts").alias("timestamp"),
-        F.to_json(F.struct(goldstein.alias("goldstein_scale"), (
-            json_double(F.col("props"), "k") - 50.0).alias("tone"))).alias("metadata"))
+        news_metadata().alias("metadata"))
 
 
 def event_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,16 +106,16 @@ def volatility_writes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
-    """(date, ticker, close): mean order value per day and priority, to four decimals."""
+    """(date, ticker, close): 100 plus the scaled largest order value per day and priority."""
     return table(spark, sf, "orders").groupBy(
         F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("ticker")).agg(
-        F.round(F.avg("o_totalprice"), 4).alias("close"))
+        (100.0 + F.max("o_totalprice") / 10000.0).alias("close"))
 
 
 def market_prices(spark: SparkSession, sf: str) -> DataFrame:
     """(date, close) over all orders."""
     return table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        F.round(F.avg("o_totalprice"), 4).alias("close"))
+        (100.0 + F.max("o_totalprice") / 10000.0).alias("close"))
 
 
 TICKERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")

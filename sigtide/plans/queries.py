@@ -687,13 +687,8 @@ def _stream_events(spark, sf):
 def stream_daily(spark, sf):
     """The stored result of the streaming daily table equals the batch table."""
     path, checkpoint = scratch_path(spark, "daily"), scratch_path(spark, "daily-state")
-    size = F.least(F.col("value") / 10.0, F.lit(10.0))
     rows = _stream_events(spark, sf).select(
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        F.to_json(F.struct(F.when(F.col("event_type") == "error", -size).when(
-            F.col("event_type") != "view", size).alias("goldstein_scale"), (
-            F.get_json_object("props", "$.k").try_cast("double") - 50.0).alias("tone"))).alias(
-            "metadata"))
+        F.col("ts").cast("timestamp").alias("timestamp"), B.news_metadata().alias("metadata"))
     daily = streaming.geo_stream(features.geo_fields(rows))
     streaming.run_to_table(daily, path, checkpoint).awaitTermination()
     return spark.read.parquet(path).drop("year")
