@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from sigtide import constants as K
 
-# Unicode-aware white space at either end (``trim`` alone only removes blanks).
-_EDGES = r"(?U)^\s+|\s+$"
+# fixed values: the characters that count as white space at the ends of a text
+WHITE_SPACE = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
+    0x2029, 0x202F, 0x205F, 0x3000)))
 TOKEN_BREAK = r"[^\p{L}]+"
 
 
 def strip_text(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+    """Without white space at either end; reads the ends only, unlike a pattern."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_scorable(stripped: Column) -> Column:

@@ -29,7 +29,8 @@ def label_regimes(dates: DataFrame, points: DataFrame, date: str = "date",
     """Regime of each date: daily linear series, nearest day, right-closed bins.
 
     Days outside the observed range take the edge value. A missing series gives NULL labels (not
-    the text ``nan``), which training drops.
+    the text ``nan``), which training drops. ``dates`` holds each date once.
     """
     daily = resample_daily_linear(points, date, value).withColumnRenamed(value, "vix")
-    return nearest_join(dates, daily, date).withColumn("regime", regime_label(F.col("vix")))
+    return nearest_join(dates, daily, date, unique_left=True).withColumn(
+        "regime", regime_label(F.col("vix")))

@@ -114,6 +114,15 @@ def _estimator(p: TrainParams):
     raise ValueError(f"unknown estimator {p.estimator!r}")
 
 
+def _fit(p: TrainParams, data: DataFrame):
+    """Fit and keep the model without its training summary.
+
+    The summary of a two-class forest refers to the session, which makes later use of the model
+    fail to serialise; a copy has none.
+    """
+    return _estimator(p).fit(data).copy()
+
+
 def train(labelled: DataFrame, params: TrainParams | None = None, label: str = "regime",
           order: str = "date") -> tuple[RegimeModel, DataFrame]:
     """Cross-validate over chronological folds, refit on everything.
@@ -136,12 +145,12 @@ def train(labelled: DataFrame, params: TrainParams | None = None, label: str = "
         scored = None
         for i in range(p.folds):
             fold = split.where(F.col("fold") == i)
-            fitted = _estimator(p).fit(fold.where(F.col("part") == "train"))
+            fitted = _fit(p, fold.where(F.col("part") == "train"))
             out = fitted.transform(fold.where(F.col("part") == "test")).select(
                 F.lit(i).alias("fold"), F.col(label).alias("label"),
                 _class_name(indexer.labels, F.col("prediction")).alias("prediction"))
             scored = out if scored is None else scored.unionByName(out)
-        final = _estimator(p).fit(data)
+        final = _fit(p, data)
     finally:
         data.unpersist()
     stages = PipelineModel(stages=[assembler, final])
@@ -205,10 +214,10 @@ def attribution(model: RegimeModel, matrix: DataFrame, n: int = 50, permutations
     # Position of each of the last n days; n rows in all.
     days = rows.select(F.row_number().over(Window.orderBy(order)).alias("_day"),
                        values.alias("_own"))
-    count = days.agg(F.max("_day").alias("_days"))
-    draws = days.join(F.broadcast(count)).select(
-        "_day", "_own", "_days", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("_perm"))
-    partner = F.pmod(F.xxhash64(F.lit(seed), "_day", "_perm"), F.col("_days")) + 1
+    count = days.agg(F.max("_day")).scalar()
+    draws = days.select(
+        "_day", "_own", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("_perm"))
+    partner = F.pmod(F.xxhash64(F.lit(seed), "_day", "_perm"), count) + 1
     draws = draws.withColumn("_partner", partner.cast("int")).join(
         days.select(F.col("_day").alias("_partner"), F.col("_own").alias("_other")), "_partner")
     # Random order: feature indexes sorted by a hash of (seed, day, permutation, feature).

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide.functions.stats import calendar_window
@@ -42,43 +42,57 @@ def resample_daily_linear(df: DataFrame, date: str = "date", value: str = "value
     return days.select(*by, date, line.alias(value))
 
 
-def _matched(left: DataFrame, right: DataFrame, on: str, by: Sequence[str],
-             pick) -> DataFrame:
-    """Join ``left`` to the right row that ``pick`` chooses for each distinct (by, on)."""
+def _matched(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], pick,
+             unique_left: bool) -> DataFrame:
+    """Attach to ``left`` the right row that ``pick`` chooses for each (by, on).
+
+    Only the distinct left keys are ordered together with the right rows, so a repetitive left
+    table is not dragged through the windows. When left keys are unique anyway, the left rows go
+    along themselves, which saves reading them twice and joining back.
+    """
     extra = [c for c in right.columns if c not in (on, *by)]
-    keys = left.select(*by, on).distinct().withColumn("_row", F.lit(None)).withColumn(
-        "_left", F.lit(True))
+    rest = [c for c in left.columns if c not in (on, *by)]
+    own = F.struct(*rest) if rest else F.lit(None).cast("string")
+    keys = (left.select(*by, on, own.alias("_own")) if unique_left
+            else left.select(*by, on).distinct()).withColumn("_left", F.lit(True))
     rows = right.select(*by, on, F.struct(F.col(on).alias("_on"), *extra).alias("_row"),
                         F.lit(False).alias("_left"))
-    both = rows.unionByName(keys.withColumn("_row", F.col("_row").cast(rows.schema["_row"].dataType)))
-    found = both.withColumn("_hit", pick).where("_left").select(
-        *by, on, *[F.col("_hit")[c].alias(c) for c in extra])
-    return left.join(found, [*by, on], "left")
+    found = rows.unionByName(keys, allowMissingColumns=True).withColumn("_hit", pick).where(
+        "_left")
+    hits = [F.col("_hit")[c].alias(c) for c in extra]
+    if unique_left:
+        return found.select(
+            *by, on, *[F.col("_own")[c].alias(c) for c in rest], *hits)
+    return left.join(found.select(*by, on, *hits), [*by, on], "left")
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str = "date",
-              by: Sequence[str] = ()) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str = "date", by: Sequence[str] = (),
+              unique_left: bool = False) -> DataFrame:
     """Last right row at or before each left date, per key; NULLs when there is none.
 
-    Only the distinct left keys are merged with the right side, so a wide or repetitive left table
-    is not dragged through the ordering; ``right`` holds one row per key and date.
+    ``right`` holds one row per key and date.
     """
     spec = Window.partitionBy(*by).orderBy(on, "_left").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return _matched(left, right, on, by, F.last("_row", ignorenulls=True).over(spec))
+    return _matched(left, right, on, by, F.last("_row", ignorenulls=True).over(spec), unique_left)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, on: str = "date",
-                 by: Sequence[str] = ()) -> DataFrame:
-    """Right row with the closest date; a tie goes to the later one."""
-    base = Window.partitionBy(*by).orderBy(on, "_left")
-    back = F.last("_row", ignorenulls=True).over(
-        base.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("_row", ignorenulls=True).over(
-        base.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+def nearest_join(left: DataFrame, right: DataFrame, on: str = "date", by: Sequence[str] = (),
+                 unique_left: bool = False) -> DataFrame:
+    """Right row with the closest date; a tie goes to the later one.
+
+    The look ahead is a running value in reverse order: a frame that ends at the last row would
+    be evaluated anew for every row.
+    """
+    def seen(order) -> Column:
+        return F.last("_row", ignorenulls=True).over(
+            Window.partitionBy(*by).orderBy(order, "_left").rowsBetween(
+                Window.unboundedPreceding, Window.currentRow))
+
+    back, ahead = seen(F.col(on).asc()), seen(F.col(on).desc())
     before, after = F.datediff(F.col(on), back["_on"]), F.datediff(ahead["_on"], F.col(on))
     pick = F.when(ahead.isNull() | (before < after), back).otherwise(ahead)
-    return _matched(left, right, on, by, pick)
+    return _matched(left, right, on, by, pick, unique_left)
 
 
 def align_signals(returns: DataFrame, signals: DataFrame, mode: str = "exact_ffill",

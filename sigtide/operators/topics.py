@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sigtide import constants as K
 from sigtide.functions.stats import let
-from sigtide.functions.text import TOKEN_BREAK, macro_label, tokens
+from sigtide.functions.text import TOKEN_BREAK, macro_label
 
 TOP_WORDS = 10
 
@@ -97,13 +97,13 @@ def class_tfidf(df: DataFrame, topic: str = "topic_id", text: str = "body",
     the per-word total runs over at most one row per topic, and the top-k rank is cut to k rows
     per task before its shuffle.
     """
-    counts = (df.select(topic, F.explode(tokens(F.col(text))).alias("word"))
-              .groupBy(topic, "word").agg(F.count(F.lit(1)).alias("n")))
-    counts = counts.withColumn("f", F.sum("n").over(Window.partitionBy("word")))
-    # One row: number of words over number of topics.
-    size = counts.groupBy(topic).agg(F.sum("n").alias("total")).agg(F.avg("total").alias("mean"))
-    sized = counts.join(F.broadcast(size)).withColumn(
-        "score", F.col("n") * F.log(1.0 + F.col("mean") / F.col("f")))
+    pieces = F.explode(F.split(F.lower(F.col(text)), TOKEN_BREAK)).alias("word")
+    counts = (df.select(topic, pieces).where(F.col("word") != "").groupBy(topic, "word")
+              .agg(F.count(F.lit(1)).alias("n")))
+    # One value: number of words over number of topics.
+    mean = counts.groupBy(topic).agg(F.sum("n").alias("total")).agg(F.avg("total")).scalar()
+    sized = counts.withColumn("f", F.sum("n").over(Window.partitionBy("word"))).withColumn(
+        "score", F.col("n") * F.log(1.0 + mean / F.col("f")))
     rank = Window.partitionBy(topic).orderBy(F.round("score", 9).desc(), "word")
     return (sized.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top)
             .select(topic, "rank", "word", "n", "score"))

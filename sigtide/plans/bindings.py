@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigtide.functions.parse import json_double
 from sigtide.functions.text import record_id
+from sigtide.session import spread
 
 # fixed values: frequent invented words of the text tables, grouped for the word-list scorer and
 # the topic labels (the prose has no real finance vocabulary)
@@ -43,7 +44,7 @@ def pick(index: Column, *values: str) -> Column:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Raw text records, one per document."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", record_id("doc", F.col("doc_id").cast("string")).alias("id"), "source",
         F.col("lang").alias("source_type"), F.col("text").alias("body"),
         day_of(F.col("doc_id")).alias("date"))

@@ -8,6 +8,7 @@ text, counts BIGINT.
 from __future__ import annotations
 
 from sigtide import constants as K
+from sigtide.functions.text import WHITE_SPACE
 from sigtide.plans import bindings as B
 from sigtide.plans.queries import STRATEGIES
 
@@ -53,11 +54,8 @@ def _id(prefix: str, key: str) -> str:
     return f"'{prefix}_' || substr(sha256({key}), 1, 16)"
 
 
-_SPACE = r"[\s\x{0b}\x{85}\p{Z}]+"
-
-
 def _strip(col: str) -> str:
-    return f"regexp_replace({col}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+    return f"trim({col}, '{WHITE_SPACE}')"
 
 
 # ---- fragments -----------------------------------------------------------------------------------

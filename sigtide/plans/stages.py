@@ -18,6 +18,7 @@ from sigtide import schemas
 from sigtide.functions.text import strip_text, topic_text
 from sigtide.operators import features, labels, model, sentiment, topics, validation
 from sigtide.operators.timeseries import align_signals, forward_returns, tail_n
+from sigtide.session import spread
 from sigtide.sources import backfill as history
 from sigtide.sources import raw, tables
 from sigtide.sources.normalize import normalize_markets, parse_payload
@@ -104,7 +105,7 @@ def _logged(spark: SparkSession, paths: Paths, stage: str, work: Callable[[], tu
 def records(spark: SparkSession, root: str, sources: Sequence[str] | None = None,
             date_col: str = "ingest_date") -> DataFrame:
     """Raw records with the ``date`` features are grouped by (partition day by default)."""
-    df = raw.read_raw_table(spark, root, sources)
+    df = spread(raw.read_raw_table(spark, root, sources))
     day = F.to_date("timestamp") if date_col == "event_date" else F.col(date_col)
     return df.withColumn("date", day)
 

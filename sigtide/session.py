@@ -66,3 +66,14 @@ def reliable_checkpoint(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread(scan):
+    """Give every core a share of a scan that has fewer tasks than the cluster has cores.
+
+    For CPU-heavy text work on few or unsplittable files. A scan with enough tasks, as any large
+    table has, is returned unchanged. Only meant for plain scans: counting the tasks of a plan
+    with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
