@@ -123,7 +123,7 @@ def stage_sentiment(spark: SparkSession, root: str, scorer="lexicon",
         stored = spark.read.parquet(paths.sentiment_scores)
         tables.write_feature(features.sentiment_daily(stored), paths.sentiment)
         tables.write_feature(features.sentiment_by_source(stored), paths.sentiment_sources)
-        return None, seen.get["n"], None
+        return None, raw.observed_rows(seen, "n"), None
 
     _logged(spark, paths, "sentiment", work)
 
@@ -150,7 +150,7 @@ def stage_topics(spark: SparkSession, root: str, sources: Sequence[str] | None =
         tables.write_feature(out, paths.topic_assignments)
         tables.write_feature(
             topics.topic_pivot(spark.read.parquet(paths.topic_assignments)), paths.topics)
-        return None, seen.get["n"], None
+        return None, raw.observed_rows(seen, "n"), None
 
     _logged(spark, paths, "topics", work)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
 from sigtide.operators.dedup import dedup_existing
+from sigtide.session import reliable_checkpoint
 from sigtide.sources.normalize import select_periods
 from sigtide.sources.raw import append_raw
 
@@ -18,17 +19,16 @@ def backfill(records: DataFrame, existing: DataFrame | None, root: str,
              subreddits: Sequence[str] | None = None, order: str = "seq") -> dict:
     """Append the records of the chosen windows that are not stored yet; returns the counts.
 
-    ``records`` are raw records plus an ``order`` column (arrival order). All three counts come
-    out of the single write job.
+    ``records`` are raw records plus an ``order`` column (arrival order). The deduplicated batch
+    is checkpointed to the shared folder, so it is computed once and both counts and the append
+    see the same rows.
     """
     periods = periods or K.BACKFILL_PERIODS
     subreddits = list(subreddits or K.BACKFILL_SUBREDDITS)
-    fetched, unique = Observation("fetched"), Observation("after_dedup")
     named = records.withColumn("_member", F.get_json_object("metadata", "$.subreddit"))
     chosen = select_periods(named, periods, subreddits, member="_member").drop(
-        "_member", "period").observe(fetched, F.count(F.lit(1)).alias("n"))
-    fresh = dedup_existing(chosen, existing, "id", order).observe(
-        unique, F.count(F.lit(1)).alias("n"))
+        "_member", "period")
+    fresh = reliable_checkpoint(dedup_existing(chosen, existing, "id", order))
     written = append_raw(fresh.drop(order), root)
-    return {"fetched": fetched.get["n"], "after_dedup": unique.get["n"], "written": written,
+    return {"fetched": chosen.count(), "after_dedup": fresh.count(), "written": written,
             "periods": list(periods), "subreddits": subreddits}

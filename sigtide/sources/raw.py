@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +82,18 @@ def write_raw(df: DataFrame, root: str, ingest_date=None, fmt: str = "parquet")
         .partitionBy("feed", "ingest_date").format(fmt).save(f"{root}/raw_table"))
 
 
+def observed_rows(seen: Observation, name: str = "rows") -> int:
+    """Rows counted by an observation placed on top of a written plan.
+
+    When adaptive execution finds the plan empty it drops the observed node, and the observation
+    ends without a row: that is a count of 0.
+    """
+    try:
+        return seen.get[name]
+    except (Py4JJavaError, KeyError):
+        return 0
+
+
 def append_raw(df: DataFrame, root: str, fmt: str = "parquet") -> int:
     """Append records filed by event day; returns how many were written.
 
@@ -92,7 +105,7 @@ def append_raw(df: DataFrame, root: str, fmt: str = "parquet") -> int:
            .hint("rebalance", "feed", "ingest_date"))
     out.write.mode("append").partitionBy("feed", "ingest_date").format(fmt).save(
         f"{root}/raw_table")
-    return seen.get["rows"]
+    return observed_rows(seen)
 
 
 def source_counts(df: DataFrame, source: str = "feed", date: str = "ingest_date") -> DataFrame:
