@@ -191,14 +191,17 @@ def metrics(marked: DataFrame) -> DataFrame:
 
 
 def summary_text(result: DataFrame) -> DataFrame:
-    """Adds the one-sentence summary."""
+    """Adds the one-sentence summary. Shown numbers are rounded half to even."""
+    def shown(value, digits):
+        return F.bround(value, digits)
+
     text = F.format_string(
         "%s signal backtest over %d days. Strategy produced %s annualized returns of %.1f%% with "
         "Sharpe %.2f, max drawdown %.1f%%, and %d trades at %.0f%% win rate.",
         F.initcap("signal_source"), "lookback_days",
         F.when(F.col("annualized_return") > 0, "positive").otherwise("negative"),
-        F.col("annualized_return") * 100, "sharpe_ratio", F.col("max_drawdown") * 100, "n_trades",
-        F.col("win_rate") * 100)
+        shown(F.col("annualized_return") * 100, 1), shown(F.col("sharpe_ratio"), 2),
+        shown(F.col("max_drawdown") * 100, 1), "n_trades", shown(F.col("win_rate") * 100, 0))
     return result.withColumn("summary", text)
 
 

@@ -128,9 +128,11 @@ def label_documents(assigned: DataFrame, labels: DataFrame,
                     topic: str = "topic_id") -> DataFrame:
     """Attach the macro label of each document's topic; a topic without one is ``other``.
 
-    The label table has one row per topic, a number the topic model fixes.
+    No broadcast hint: the label table has a row per topic, but topic ids may come from outside,
+    so adaptive execution decides by its measured size and splits a topic that most documents
+    share.
     """
-    return assigned.join(F.broadcast(labels), topic, "left").withColumn(
+    return assigned.join(labels, topic, "left").withColumn(
         "macro_label", F.coalesce("macro_label", F.lit(K.TOPIC_OTHER)))
 
 

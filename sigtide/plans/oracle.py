@@ -99,7 +99,7 @@ _GEO = ", ".join(["CAST(date AS VARCHAR) AS date", _r("mean_goldstein"), _r("std
                   _r("conflict_ratio"), _r("geopolitical_risk_score")])
 
 # topics
-_cte("assigned", """SELECT d.*, coalesce(e.label, -1) AS topic_id FROM docs d
+_cte("assigned", """SELECT d.*, CAST(coalesce(e.label, -1) AS BIGINT) AS topic_id FROM docs d
   LEFT JOIN embeddings e ON e.vec_id = d.doc_id""", "docs")
 _cte("topic_tokens", r"""SELECT topic_id, unnest(list_filter(string_split_regex(lower(body),
   '[^\p{L}]+'), lambda t: t <> '')) AS word FROM assigned""", "assigned")
@@ -254,7 +254,7 @@ _cte("aligned", "SELECT * FROM returns LEFT JOIN filled USING (date)", "returns"
 _cte("signed", """SELECT *, CASE WHEN ticker IN ('1-URGENT', '2-HIGH') THEN risk_on_prob
   ELSE -risk_off_prob END AS signal FROM aligned WHERE ticker <> '5-LOW'""", "aligned")
 _cte("pairs", " UNION ALL ".join(
-    f"SELECT ticker, {h} AS horizon, date, signal, fwd_{h}d AS ret FROM signed "
+    f"SELECT ticker, {h}::BIGINT AS horizon, date, signal, fwd_{h}d AS ret FROM signed "
     f"WHERE signal IS NOT NULL AND fwd_{h}d IS NOT NULL" for h in K.HORIZONS), "signed")
 _cte("numbered", """SELECT *, row_number() OVER (PARTITION BY ticker, horizon ORDER BY date) - 1 AS i
   FROM pairs""", "pairs")
@@ -308,7 +308,7 @@ _cte("sources", """SELECT date, unnest([
 _cte("close", """SELECT CAST(o_orderdate AS DATE) AS date, 100.0 + max(o_totalprice) / 10000.0 AS close
   FROM orders GROUP BY 1""")
 _cte("params", "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{s.signal_source}', {s.lookback_days}, {s.entry_threshold}::DOUBLE, "
+    f"({i}::BIGINT, '{s.signal_source}', {s.lookback_days}::BIGINT, {s.entry_threshold}::DOUBLE, "
     f"{s.exit_threshold}::DOUBLE, {s.fees}::DOUBLE)" for i, s in enumerate(STRATEGIES))
     + ") t(strategy_id, signal_source, lookback_days, entry, leave, fees)")
 _cte("bars", """SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY date) - 1 AS bar
@@ -316,7 +316,7 @@ _cte("bars", """SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY d
     SELECT x.s AS source, date, x.v AS signal, close, row_number() OVER (PARTITION BY x.s
       ORDER BY date DESC) AS age FROM sources JOIN close USING (date)) q
   ON q.source = p.signal_source AND q.age <= p.lookback_days)""", "params", "sources", "close")
-_cte("walk", """SELECT strategy_id, CAST(0 AS BIGINT) AS bar, 0 AS position FROM params
+_cte("walk", """SELECT strategy_id, CAST(0 AS BIGINT) AS bar, CAST(0 AS BIGINT) AS position FROM params
   UNION ALL SELECT b.strategy_id, b.bar, CASE WHEN w.position = 0 AND b.signal > b.entry THEN 1
     WHEN w.position = 1 AND b.signal < b.leave THEN 0 ELSE w.position END
   FROM walk w JOIN bars b ON b.strategy_id = w.strategy_id AND b.bar = w.bar + 1""",
@@ -397,8 +397,8 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {_D}, source_type, {_SOURCE_AGGS} FROM scores s GROUP BY s.date, source_type",
         "scores")
     o["sentiment_rollup"] = _sql(
-        f"SELECT {_D}, source_type, {_SOURCE_AGGS}, 0 AS is_cross FROM scores s "
-        f"GROUP BY s.date, source_type UNION ALL SELECT {_D}, NULL, {_SOURCE_AGGS}, 1 "
+        f"SELECT {_D}, source_type, {_SOURCE_AGGS}, 0::BIGINT AS is_cross FROM scores s "
+        f"GROUP BY s.date, source_type UNION ALL SELECT {_D}, NULL, {_SOURCE_AGGS}, 1::BIGINT "
         "FROM scores s GROUP BY s.date", "scores")
     # topics
     o["class_tfidf"] = _sql(f"SELECT topic_id, rank, word, n, {_r('score')} FROM top_words",
@@ -585,6 +585,12 @@ def oracle_sql() -> dict[str, str]:
   {_r('total_return')}, {_r('ann', 'annualized_return')}, {_ratio('vol', 'sharpe_ratio')},
   {_ratio('down', 'sortino_ratio')}, {_r('max_drawdown')},
   {_ratio('abs(max_drawdown)', 'calmar_ratio')}, {_r('win_rate')}, n_trades FROM metrics""", "metrics")
+    o["backtest_summary"] = _sql("""SELECT strategy_id, n_trades, printf('%s signal backtest over '
+  || '%d days. Strategy produced %s annualized returns of %.1f%% with Sharpe %.2f, max drawdown '
+  || '%.1f%%, and %d trades at %.0f%% win rate.', upper(signal_source[1]) || signal_source[2:],
+  lookback_days, CASE WHEN ann > 0 THEN 'positive' ELSE 'negative' END, ann * 100,
+  coalesce(CASE WHEN vol > 0 THEN ann / vol END, 0.0), max_drawdown * 100, n_trades,
+  win_rate * 100) AS summary FROM metrics""", "metrics")
     o["backtest_rejected"] = _sql("""SELECT strategy_id,
   'fewer than 30 bars with signal and price' AS reason FROM params
   WHERE signal_source = 'sentiment'""", "params")

@@ -6,6 +6,7 @@ lines, ``features/<layer>``, ``models/regime``, ``signals``, ``runs``.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -214,8 +215,13 @@ def stage_train(spark: SparkSession, root: str, params: model.TrainParams | None
         fitted, folds = model.train(labelled, params)
         model.save_model(fitted, paths.model)
         hits = (F.col("label") == F.col("prediction")).cast("double")
-        mean = folds.groupBy("fold").agg(F.avg(hits).alias("accuracy")).agg(
-            F.avg("accuracy").alias("accuracy")).first()["accuracy"]
+        scores = folds.groupBy("fold").agg(
+            F.avg(hits).alias("accuracy"), F.count(F.lit(1)).alias("n")).orderBy("fold").collect()
+        for fold in scores:  # one log row per fold: its test rows, accuracy and the parameters
+            note = {"accuracy": fold["accuracy"], **fitted.params}
+            tables.log_run(spark, paths.runs, f"train_fold_{fold['fold']}", "ok", fold["n"],
+                           notes=json.dumps(note))
+        mean = sum(f["accuracy"] for f in scores) / len(scores)
         result = {"mean_cv_accuracy": mean, "n_features": len(fitted.features)}
         return result, None, str(result)
 
