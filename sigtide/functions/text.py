@@ -41,7 +41,7 @@ def post_body(title: Column, selftext: Column) -> Column:
 
 
 def topic_text(body: Column) -> Column:
-    """First 512 characters: the fixed input length of the topic model."""
+    """First 512 characters, the input length of an embedding model; optional in the stages."""
     return F.substring(body, 1, K.TOPIC_CHARS)
 
 

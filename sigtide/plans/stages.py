@@ -130,17 +130,20 @@ def stage_sentiment(spark: SparkSession, root: str, scorer="lexicon",
 
 
 def stage_topics(spark: SparkSession, root: str, sources: Sequence[str] | None = None,
-                 k: int = 20, min_topic_size: int = 10) -> None:
+                 k: int = 20, min_topic_size: int = 10, first_chars: bool = False) -> None:
     """Fit topics on the text, label them by their words, write assignments and daily counts.
 
     Text and metadata are filtered together, so assignments always line up with their records.
+    Whole texts are used; ``first_chars=True`` cuts them to the 512 characters an embedding model
+    would read.
     """
     paths = Paths(root)
 
     def work():
         body = strip_text(F.coalesce("body", F.lit("")))
         docs = records(spark, root, sources).where(F.length(body) > K.MIN_SCORABLE_CHARS).select(
-            "id", "source", "source_type", "date", topic_text(F.col("body")).alias("body"))
+            "id", "source", "source_type", "date",
+            topic_text(F.col("body")).alias("body") if first_chars else "body")
         fitted = topics.fit_topics(docs, "lda", "body", k, min_topic_size)
         assigned = topics.assign_topics(fitted, docs)
         names = topics.topic_labels(topics.class_tfidf(assigned))
