@@ -111,9 +111,12 @@ def market_daily(records: DataFrame, date: str = "date") -> DataFrame:
 
 def last_write_wins(df: DataFrame, key: Sequence[str] | str, value: str,
                     order: Sequence[str]) -> DataFrame:
-    """Value of the latest write (later ingest day, then later line) per key."""
+    """Value of the latest write (later ingest day, then later line) per key.
+
+    Writes that tie in ``order`` are decided by the larger value, so a rerun agrees.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+    return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order, value)).alias(value))
 
 
 def macro_pivot(df: DataFrame, series_ids: Sequence[str], order: Sequence[str],

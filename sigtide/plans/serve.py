@@ -62,11 +62,12 @@ def sentiment_tail(spark: SparkSession, root: str, days: int = 60) -> DataFrame:
 
 
 def topics_tail(spark: SparkSession, root: str, days: int = 30) -> DataFrame:
-    return tables.feature_tail(spark.read.parquet(stages.Paths(root).topics), _days(days))
+    return tables.feature_tail(
+        tables.daily_table(spark, stages.Paths(root).topics), _days(days))
 
 
 def topic_summary(spark: SparkSession, root: str, k: int = 8) -> DataFrame:
-    return topics.dominant_topics(spark.read.parquet(stages.Paths(root).topics), k)
+    return topics.dominant_topics(tables.daily_table(spark, stages.Paths(root).topics), k)
 
 
 def geo_tail(spark: SparkSession, root: str, days: int = 60) -> DataFrame:

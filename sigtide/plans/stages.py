@@ -104,44 +104,60 @@ def _logged(spark: SparkSession, paths: Paths, stage: str, work: Callable[[], tu
 
 
 def records(spark: SparkSession, root: str, sources: Sequence[str] | None = None,
-            date_col: str = "ingest_date") -> DataFrame:
-    """Raw records with the ``date`` features are grouped by (partition day by default)."""
-    df = spread(raw.read_raw_table(spark, root, sources))
+            date_col: str = "ingest_date", since: str | None = None) -> DataFrame:
+    """Raw records with the ``date`` features are grouped by (partition day by default).
+
+    ``since`` on the partition day prunes folders, so a daily run reads the new days only.
+    """
+    df = raw.read_raw_table(spark, root, sources)
     day = F.to_date("timestamp") if date_col == "event_date" else F.col(date_col)
-    return df.withColumn("date", day)
+    if since is not None:
+        df = df.where(day >= F.lit(since).cast("date"))
+    return spread(df).withColumn("date", day)
+
+
+def _since(df: DataFrame, since: str | None) -> DataFrame:
+    return df if since is None else df.where(F.col("date") >= F.lit(since).cast("date"))
 
 
 def stage_sentiment(spark: SparkSession, root: str, scorer="lexicon",
-                    sources: Sequence[str] | None = None) -> None:
-    """Score all sources, then write scores, the daily table and the per-source table."""
+                    sources: Sequence[str] | None = None, date_col: str = "ingest_date",
+                    since: str | None = None) -> None:
+    """Score all sources, then write scores, the daily table and the per-source table.
+
+    With ``since`` only days from then on are scored and replaced.
+    """
     paths = Paths(root)
 
     def work():
-        seen = Observation("scored")
-        scores = sentiment.score_text(records(spark, root, sources), scorer).observe(
+        seen, part = Observation("scored"), since is not None
+        scores = sentiment.score_text(
+            records(spark, root, sources, date_col, since), scorer).observe(
             seen, F.count(F.lit(1)).alias("n"))
-        tables.write_feature(scores, paths.sentiment_scores)
-        stored = spark.read.parquet(paths.sentiment_scores)
-        tables.write_feature(features.sentiment_daily(stored), paths.sentiment)
-        tables.write_feature(features.sentiment_by_source(stored), paths.sentiment_sources)
+        tables.write_by_date(scores, paths.sentiment_scores, part)
+        stored = _since(spark.read.parquet(paths.sentiment_scores), since)
+        tables.write_daily(features.sentiment_daily(stored), paths.sentiment, part)
+        tables.write_daily(features.sentiment_by_source(stored), paths.sentiment_sources, part)
         return None, raw.observed_rows(seen, "n"), None
 
     _logged(spark, paths, "sentiment", work)
 
 
 def stage_topics(spark: SparkSession, root: str, sources: Sequence[str] | None = None,
-                 k: int = 20, min_topic_size: int = 10, first_chars: bool = False) -> None:
+                 k: int = 20, min_topic_size: int = 10, first_chars: bool = False,
+                 date_col: str = "ingest_date") -> None:
     """Fit topics on the text, label them by their words, write assignments and daily counts.
 
     Text and metadata are filtered together, so assignments always line up with their records.
     Whole texts are used; ``first_chars=True`` cuts them to the 512 characters an embedding model
-    would read.
+    would read. Topics are fitted anew, so every day is rewritten.
     """
     paths = Paths(root)
 
     def work():
         body = strip_text(F.coalesce("body", F.lit("")))
-        docs = records(spark, root, sources).where(F.length(body) > K.MIN_SCORABLE_CHARS).select(
+        docs = records(spark, root, sources, date_col).where(
+            F.length(body) > K.MIN_SCORABLE_CHARS).select(
             "id", "source", "source_type", "date",
             topic_text(F.col("body")).alias("body") if first_chars else "body")
         fitted = topics.fit_topics(docs, "lda", "body", k, min_topic_size)
@@ -151,20 +167,22 @@ def stage_topics(spark: SparkSession, root: str, sources: Sequence[str] | None =
         out = topics.label_documents(assigned, names).select(
             "id", "source", "source_type", "date", "topic_id", "topic_prob", "macro_label"
         ).observe(seen, F.count(F.lit(1)).alias("n"))
-        tables.write_feature(out, paths.topic_assignments)
-        tables.write_feature(
+        tables.write_by_date(out, paths.topic_assignments)
+        tables.write_daily(
             topics.topic_pivot(spark.read.parquet(paths.topic_assignments)), paths.topics)
         return None, raw.observed_rows(seen, "n"), None
 
     _logged(spark, paths, "topics", work)
 
 
-def stage_geopolitical(spark: SparkSession, root: str) -> None:
+def stage_geopolitical(spark: SparkSession, root: str, date_col: str = "ingest_date",
+                       since: str | None = None) -> None:
     paths = Paths(root)
 
     def work():
-        daily = features.geo_daily(features.geo_fields(records(spark, root, ["gdelt"])))
-        tables.write_feature(daily, paths.geopolitical)
+        events = records(spark, root, ["gdelt"], date_col, since)
+        tables.write_daily(features.geo_daily(features.geo_fields(events)), paths.geopolitical,
+                           since is not None)
         return None, None, None
 
     _logged(spark, paths, "geopolitical", work)

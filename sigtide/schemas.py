@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-
-S, D, L, I = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
+S, D, L = T.StringType(), T.DoubleType(), T.LongType()
 
 
 def struct(**fields: T.DataType) -> T.StructType:

@@ -228,6 +228,11 @@ def select_periods(df: DataFrame, periods: dict[str, tuple[str, str]] | None = N
     return rows.select("*", F.explode(hits).alias("period"))
 
 
+def open_metadata(df: DataFrame, schema, column: str = "metadata") -> DataFrame:
+    """Metadata text as a typed struct (``schemas.REDDIT_META`` and the like)."""
+    return df.withColumn(column, F.from_json(column, schema))
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     """Concatenate by column name; absent columns become NULL."""
     out = frames[0]

@@ -68,6 +68,27 @@ def upsert_daily(df: DataFrame, path: str, key: str = "date") -> None:
         .option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
 
 
+def write_daily(df: DataFrame, path: str, incremental: bool = False, key: str = "date") -> None:
+    """Write a daily table by year: all of it, or only the days present in ``df``."""
+    if incremental:
+        upsert_daily(df, path, key)
+        return
+    (df.withColumn("year", F.year(key)).hint("rebalance", "year").write.mode("overwrite")
+        .option("partitionOverwriteMode", "static").partitionBy("year").parquet(path))
+
+
+def write_by_date(df: DataFrame, path: str, incremental: bool = False, key: str = "date") -> None:
+    """Write record-level rows in one folder per day; a busy day is split into several files."""
+    mode = "dynamic" if incremental else "static"
+    (df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", mode)
+        .partitionBy(key).parquet(path))
+
+
+def daily_table(spark: SparkSession, path: str) -> DataFrame:
+    """A daily table without its storage column."""
+    return spark.read.parquet(path).drop("year")
+
+
 def signal_table(spark: SparkSession, path: str) -> DataFrame:
     """Published regime signals, one row a day."""
     found = read_optional(spark, path)

@@ -228,9 +228,33 @@ def test_predict_all_then_validate_and_backtest(spark, world):
     assert result.count() == 3 and frame.count() == 180
 
 
+def test_incremental_run_equals_full_run(spark, world, rows):
+    paths = stages.Paths(world)
+    cols = [F.col("date").cast("string"), F.round("cross_composite", 9), "cross_count"]
+    geo = [F.col("date").cast("string"), F.round("geopolitical_risk_score", 9), "total_events"]
+    before = rows(tables.daily_table(spark, paths.sentiment), *cols)
+    risk = rows(tables.daily_table(spark, paths.geopolitical), *geo)
+    n_scores = spark.read.parquet(paths.sentiment_scores).count()
+    late = raw.read_raw_table(spark, world, ["gdelt"]).where("ingest_date = '2024-02-20'").limit(3).drop(
+        "feed", "ingest_date")
+    raw.append_raw(late.withColumn("id", F.concat(F.lit("late"), "id")), world)
+    stages.stage_sentiment(spark, world, since="2024-02-15")
+    stages.stage_geopolitical(spark, world, since="2024-02-15")
+    after = rows(tables.daily_table(spark, paths.sentiment), *cols)
+    assert len(after) == 60 and sum(r[2] for r in after) == sum(r[2] for r in before) + 3
+    assert [r for r in after if r[0] != "2024-02-20"] == [r for r in before if r[0] != "2024-02-20"]
+    assert spark.read.parquet(paths.sentiment_scores).count() == n_scores + 3
+    stages.stage_sentiment(spark, world)
+    stages.stage_geopolitical(spark, world, date_col="event_date")
+    assert rows(tables.daily_table(spark, paths.sentiment), *cols) == after
+    now = rows(tables.daily_table(spark, paths.geopolitical), *geo)
+    assert [r for r in now if r[0] != "2024-02-20"] == [r for r in risk if r[0] != "2024-02-20"]
+
+
 def test_run_log(spark, world):
     done = {r.stage for r in spark.read.parquet(stages.Paths(world).runs).where("status = 'ok'").collect()}
-    assert {"sentiment", "topics", "geopolitical", "kalshi", "train", "predict", "shap"} <= done
+    assert {"sentiment", "topics", "geopolitical", "kalshi", "train", "predict", "shap",
+            "train_fold_0", "train_fold_1"} <= done
 
 
 def test_failed_stage_is_logged(spark, tmp_path):

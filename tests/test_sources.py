@@ -105,6 +105,12 @@ def test_markets(spark):
     assert normalize.normalize_markets(df, "KXCPI-27APR", K.MACRO_EVENTS).count() == 0
 
 
+def test_typed_metadata(spark):
+    df = spark.createDataFrame([('{"tone": 1.5, "query": "q", "extra": 1}',), ("bad",)], "metadata string")
+    got = normalize.open_metadata(df, schemas.GDELT_META).select("metadata.tone", "metadata.query").collect()
+    assert [tuple(r) for r in got] == [(1.5, "q"), (None, None)]
+
+
 def test_prices_long_drops_missing(spark, rows):
     df = spark.createDataFrame([("d1", 1.0, None), ("d2", 2.0, 3.0)], "date string, A double, B double")
     assert rows(normalize.prices_long(df, ["A", "B"])) == [
