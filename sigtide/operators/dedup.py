@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtide.session import reliable_checkpoint
+from sigtide.session import materialised
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -41,12 +41,13 @@ def dedup_consecutive(df: DataFrame, key: str, order: Sequence[str],
     ``order`` must be a total order. The rows are range-partitioned on it, which splits even one
     dominant key or timestamp evenly because the tiebreak column takes part. Each block is then
     compared within itself, and its first row with the last key of the block before it: that
-    boundary table has one row per block. The blocks are fixed by a reliable checkpoint, so both
-    passes see the same boundaries when a task is rerun.
+    boundary table has one row per block. The blocks are fixed by a table in the shared folder, so
+    both passes see the same boundaries when a task is rerun, and the boundary pass reads only the
+    key and the order.
     """
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    blocks = reliable_checkpoint(
-        df.repartitionByRange(*sort).withColumn("_block", F.spark_partition_id()))
+    blocks = materialised(
+        df.repartitionByRange(*sort).withColumn("_block", F.spark_partition_id()), "blocks")
     position = F.struct(*order)
     final = (F.min_by if descending else F.max_by)(F.struct(key), position)
     ends = blocks.groupBy("_block").agg(final.alias("_end"))

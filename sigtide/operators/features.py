@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigtide import constants as K
 from sigtide.functions.parse import clip
@@ -47,14 +48,16 @@ def sentiment_rollup(scores: DataFrame, date: str = "date") -> DataFrame:
 
 
 def geo_fields(events: DataFrame, metadata: str = "metadata") -> DataFrame:
-    """Goldstein value and tone out of the metadata JSON, scaled to about [-1, 1].
+    """Goldstein value and tone out of the metadata, scaled to about [-1, 1].
 
-    The JSON is parsed once for both fields; missing values and non-objects count as 0.
+    Metadata is JSON text, parsed once for both fields, or an already typed struct. Missing values
+    and non-objects count as 0.
     """
     zero = F.lit(0.0)
-    return events.withColumn(
-        "_m", F.from_json(metadata, "goldstein_scale double, tone double")
-    ).withColumns({
+    typed = isinstance(events.schema[metadata].dataType, T.StructType)
+    fields = F.col(metadata) if typed else F.from_json(
+        metadata, "goldstein_scale double, tone double")
+    return events.withColumn("_m", fields).withColumns({
         "goldstein_scalar": F.coalesce("_m.goldstein_scale", zero) / K.GOLDSTEIN_SCALE,
         "tone_scalar": F.coalesce("_m.tone", zero) / K.TONE_SCALE}).drop("_m")
 

@@ -51,16 +51,16 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def news_metadata() -> Column:
-    """Metadata JSON of an event: errors are hostile, views carry no Goldstein value."""
+    """Typed metadata of an event: errors are hostile, views carry no Goldstein value."""
     size = F.least(F.col("value") / 10.0, F.lit(10.0))
     goldstein = F.when(F.col("event_type") == "error", -size).when(
         F.col("event_type") != "view", size)
     tone = json_double(F.col("props"), "k") - 50.0 + F.col("value") / 1000.0
-    return F.to_json(F.struct(goldstein.alias("goldstein_scale"), tone.alias("tone")))
+    return F.struct(goldstein.alias("goldstein_scale"), tone.alias("tone"))
 
 
 def news_events(spark: SparkSession, sf: str) -> DataFrame:
-    """News events with their metadata JSON."""
+    """News events with their metadata; the tone is read out of the props JSON."""
     return table(spark, sf, "events").select(
         "event_id", F.to_date("ts").alias("date"), F.col("ts").alias("timestamp"),
         news_metadata().alias("metadata"))

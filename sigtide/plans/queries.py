@@ -272,12 +272,12 @@ def period_select(spark, sf):
 # ---- landed payloads -----------------------------------------------------------------------------
 
 def _shown(records: DataFrame, **meta: str) -> DataFrame:
-    """Raw records with long text hashed and metadata fields typed."""
-    return records.select(
+    """Raw records with long text hashed and metadata fields typed (parsed once)."""
+    kinds = ", ".join(f"{k} {kind}" for k, kind in meta.items())
+    return records.withColumn("_m", F.from_json("metadata", kinds)).select(
         "id", "source", "source_type", F.unix_timestamp("timestamp").alias("epoch"),
         F.md5("title").alias("title_md5"), F.md5("body").alias("body_md5"), "url",
-        *[F.get_json_object("metadata", f"$.{k}").cast(kind).alias(f"m_{k}")
-          for k, kind in meta.items()])
+        *[F.col(f"_m.{k}").alias(f"m_{k}") for k in meta])
 
 
 def _talk(spark, sf):
@@ -343,8 +343,8 @@ def normalize_fred(spark, sf):
         kind == "error", "abc").otherwise(F.format_string("%.2f", "value"))
     obs = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), value.alias("value"))
     landed = B.table(spark, sf, "events").select(F.array(obs).alias("observations"), "event_type")
-    return _shown(normalize.normalize_fred(landed, F.upper("event_type")).withColumn(
-        "url", F.col("url")), series_id="string", value="double", date="string")
+    return _shown(normalize.normalize_fred(landed, F.upper("event_type")), series_id="string",
+                  value="double", date="string")
 
 
 @_query

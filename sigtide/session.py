@@ -59,13 +59,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df):
-    """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def materialised(df, name: str):
+    """Write a frame to a fresh table in the shared folder and read it back.
+
+    Cuts lineage so that it survives lost executors, fixes the result of anything that is not
+    repeatable (range boundaries, partition ids), and lets later steps read only the columns they
+    need. The caller's cluster owns the clean-up of the shared folder.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigtide import constants as K
 from sigtide.operators.dedup import dedup_existing
-from sigtide.session import reliable_checkpoint
+from sigtide.session import materialised
 from sigtide.sources.normalize import select_periods
 from sigtide.sources.raw import append_raw
 
@@ -20,7 +20,7 @@ def backfill(records: DataFrame, existing: DataFrame | None, root: str,
     """Append the records of the chosen windows that are not stored yet; returns the counts.
 
     ``records`` are raw records plus an ``order`` column (arrival order). The deduplicated batch
-    is checkpointed to the shared folder, so it is computed once and both counts and the append
+    is written to the shared folder first, so it is computed once and both counts and the append
     see the same rows.
     """
     periods = periods or K.BACKFILL_PERIODS
@@ -28,7 +28,7 @@ def backfill(records: DataFrame, existing: DataFrame | None, root: str,
     named = records.withColumn("_member", F.get_json_object("metadata", "$.subreddit"))
     chosen = select_periods(named, periods, subreddits, member="_member").drop(
         "_member", "period")
-    fresh = reliable_checkpoint(dedup_existing(chosen, existing, "id", order))
+    fresh = materialised(dedup_existing(chosen, existing, "id", order), "backfill")
     written = append_raw(fresh.drop(order), root)
     return {"fetched": chosen.count(), "after_dedup": fresh.count(), "written": written,
             "periods": list(periods), "subreddits": subreddits}

@@ -89,8 +89,17 @@ def normalize_gdelt(df: DataFrame, query: Column | str) -> DataFrame:
 
 
 def number_text(value: Column) -> Column:
-    """Shortest plain rendering: ``5`` for 5.0 and no exponent."""
-    return F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    """Shortest plain rendering: ``5`` for 5.0 and no exponent.
+
+    Between 0.001 and ten million the plain cast is already the shortest text; only numbers it
+    would show with an exponent go through a decimal.
+    """
+    size = F.abs(value)
+    whole = (value == F.floor(value)) & (size < 1e15)
+    return (F.when(whole, value.cast("bigint").cast("string"))
+            .when((size >= 1e-3) & (size < 1e7), value.cast("string"))
+            .otherwise(F.regexp_replace(
+                value.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")))
 
 
 def normalize_fred(df: DataFrame, series: Column | str) -> DataFrame:
