@@ -195,6 +195,7 @@ def summary_text(result: DataFrame) -> DataFrame:
     def shown(value, digits):
         return F.bround(value, digits)
 
+    # fixed value: the wording of the summary
     text = F.format_string(
         "%s signal backtest over %d days. Strategy produced %s annualized returns of %.1f%% with "
         "Sharpe %.2f, max drawdown %.1f%%, and %d trades at %.0f%% win rate.",

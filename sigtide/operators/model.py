@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sigtide.operators.features import select_features
 from sigtide.operators.timeseries import tail_n
+from sigtide.session import materialised
 
 
 @dataclass(frozen=True)
@@ -124,8 +125,8 @@ def _fit(p: TrainParams, data: DataFrame):
 
 
 def train(labelled: DataFrame, params: TrainParams | None = None, label: str = "regime",
-          order: str = "date") -> tuple[RegimeModel, DataFrame]:
-    """Cross-validate over chronological folds, refit on everything.
+          order: str = "date") -> tuple[RegimeModel, DataFrame | None]:
+    """Cross-validate over chronological folds, refit on everything; no folds, no validation.
 
     ``labelled`` is the daily feature matrix with a label column; unlabelled days are dropped.
     Classes are indexed once over the whole set, so a fold that lacks a class still trains.
@@ -135,14 +136,17 @@ def train(labelled: DataFrame, params: TrainParams | None = None, label: str = "
     p = params or TrainParams()
     known = labelled.where(F.col(label).isNotNull())
     names = [c for c in known.columns if c not in (order, label, "vix")]
-    indexer: StringIndexerModel = StringIndexer(
-        inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(known)
-    assembler = VectorAssembler(inputCols=names, outputCol="_features")
-    data = assembler.transform(indexer.transform(select_features(known, names, (order, label))))
-    data = data.select(order, label, "_label", "_features").persist()
+    # A daily table: cached so that labelling runs once, not once per fold.
+    rows = select_features(known, names, (order, label)).persist()
     try:
-        split = ts_split(data, p.folds, order)
+        indexer: StringIndexerModel = StringIndexer(
+            inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
+        assembler = VectorAssembler(inputCols=names, outputCol="_features")
+        data = assembler.transform(indexer.transform(rows)).select(
+            order, label, "_label", "_features")
         scored = None
+        if p.folds:
+            split = ts_split(data, p.folds, order)
         for i in range(p.folds):
             fold = split.where(F.col("fold") == i)
             fitted = _fit(p, fold.where(F.col("part") == "train"))
@@ -150,9 +154,11 @@ def train(labelled: DataFrame, params: TrainParams | None = None, label: str = "
                 F.lit(i).alias("fold"), F.col(label).alias("label"),
                 _class_name(indexer.labels, F.col("prediction")).alias("prediction"))
             scored = out if scored is None else scored.unionByName(out)
+        if scored is not None:  # one row per test day; kept, so reports do not predict again
+            scored = materialised(scored, "folds")
         final = _fit(p, data)
     finally:
-        data.unpersist()
+        rows.unpersist()
     stages = PipelineModel(stages=[assembler, final])
     return RegimeModel(stages, list(indexer.labels), names, dict(vars(p))), scored
 

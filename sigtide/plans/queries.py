@@ -757,14 +757,14 @@ def train_predict(spark, sf):
 def predict_history(spark, sf):
     """Every day predicted by a model on all days."""
     labelled = _training(spark, sf)
-    fitted, _ = model.train(labelled, model.TrainParams(folds=1))
+    fitted, _ = model.train(labelled, model.TrainParams(folds=0))
     return model.predict_all(fitted, labelled).drop("probabilities")
 
 
 @_query
 def attribution(spark, sf):
     labelled = _training(spark, sf)
-    fitted, _ = model.train(labelled, model.TrainParams(folds=1))
+    fitted, _ = model.train(labelled, model.TrainParams(folds=0))
     return model.attribution(fitted, labelled)
 
 

@@ -10,6 +10,7 @@ import json
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -194,7 +195,8 @@ def stage_markets(spark: SparkSession, root: str, payloads: DataFrame, fetched_a
     paths = Paths(root)
 
     def work():
-        at = F.current_timestamp() if fetched_at is None else F.lit(fetched_at).cast("timestamp")
+        # One instant for the whole run, which reads the payloads more than once.
+        at = F.lit(fetched_at or datetime.now(timezone.utc)).cast("timestamp")
         opened = parse_payload(payloads, schemas.MARKET_EVENT)
         rows = normalize_markets(opened, F.col("event_ticker"), events).withColumn(
             "fetched_at", at).withColumn("date", F.to_date("fetched_at"))

@@ -55,8 +55,9 @@ def upsert_daily(df: DataFrame, path: str, key: str = "date") -> None:
 
     The table is partitioned by year: a day touches one small file set, not the whole table, and
     twenty years are twenty folders instead of thousands. Rows of the touched years are merged
-    with the new ones and written by dynamic partition overwrite, which stages its files before
-    replacing a folder, so a lost executor or a failed job leaves the old rows in place.
+    with the new ones and written by dynamic partition overwrite, which stages all files before it
+    swaps folders: a lost executor or a failed job leaves the old rows in place, and only the swap
+    itself is not atomic.
     """
     spark = df.sparkSession
     new = df.withColumn("year", F.year(key))
