@@ -1,0 +1,13 @@
+"""Schemas of frames with added columns."""
+
+from __future__ import annotations
+
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+
+def extended(schema: StructType, columns: dict[str, str], prefix: str = "") -> StructType:
+    """A copy of ``schema`` with named columns at the end; a name that exists already raises."""
+    if clash := {prefix + c for c in columns} & set(schema.names):
+        raise ValueError(f"columns {sorted(clash)} exist already, choose a prefix")
+    return StructType([*schema.fields, *(
+        StructField(prefix + c, _parse_datatype_string(kind)) for c, kind in columns.items())])
