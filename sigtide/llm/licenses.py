@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sigtide.llm.schema import extended
+from sigtide.llm.arrow import extended, map_arrow
 from sigtide.llm.words import find_words, slices
 
 # fixed values: base phrases and labels
@@ -235,4 +235,4 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
             yield pa.RecordBatch.from_arrays([*batch.columns, *added],
                                              [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

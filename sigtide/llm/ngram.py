@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtide.llm.graph import components, forest
-from sigtide.llm.schema import extended
+from sigtide.llm.arrow import extended, map_arrow
 from sigtide.llm.words import SHINGLE, Words, find_words, mix, powers, shingles, slices
 from sigtide.session import materialised
 
@@ -83,8 +83,7 @@ def sketch(docs: DataFrame, doc: str, text: str, width: int = SHINGLE) -> DataFr
                      pa.array([r.tobytes() for r in bands], pa.binary(), mask=empty)],
                     ["_doc", "_node", "_check", "_bands"])
 
-    return docs.select(docs[doc].alias("_doc"), text).mapInArrow(
-        run, f"_doc {kind}, _node long, _check long, _bands binary")
+    return map_arrow(docs.select(docs[doc].alias("_doc"), text), run, f"_doc {kind}, _node long, _check long, _bands binary")
 
 
 def bucket_edges(classes: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -97,7 +96,7 @@ def bucket_edges(classes: DataFrame, bands: int = BANDS) -> DataFrame:
                 [pa.array(np.repeat(node, bands)), pa.array(bands_)], ["src", "bucket"])
 
     # a band's number is part of its hash
-    rows = classes.select("_node", "_bands").mapInArrow(run, "src long, bucket long")
+    rows = map_arrow(classes.select("_node", "_bands"), run, "src long, bucket long")
     low = rows.groupBy("bucket").agg(F.min("src").alias("dst"), F.max("src").alias("high")).where(
         "dst <> high").select("bucket", "dst")
     return rows.join(low, "bucket").where("src <> dst").select("src", "dst").distinct()
@@ -161,6 +160,7 @@ def _verify_blocks(sets: DataFrame, width: int, threshold: tuple[int, int]) -> D
     """(node, links, root) per class and pair of blocks, from rows (_set, _p, _q, _side, _node, _n,
     _text)."""
     def run(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         side = table.column("_side").to_numpy().astype(np.int64)
         node, n = table.column("_node").to_numpy(), table.column("_n").to_numpy()
         links = np.zeros(len(node), np.int64)
@@ -255,4 +255,4 @@ def sketch_nodes(rows: DataFrame) -> DataFrame:
                 [*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))],
                 [*batch.schema.names, "_node"])
 
-    return rows.mapInArrow(run, extended(rows.schema, {"_node": "long"}))
+    return map_arrow(rows, run, extended(rows.schema, {"_node": "long"}))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from sigtide.llm import pretoken
-from sigtide.llm.schema import extended
+from sigtide.llm.arrow import extended, map_arrow
 
 CAPACITY = 1024
 WINDOW = 4096
@@ -145,4 +145,4 @@ def pack(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text:
         if tokens:
             yield flush()
 
-    return frame.mapInArrow(run, schema)
+    return map_arrow(frame, run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtide.llm.schema import extended
+from sigtide.llm.arrow import extended, map_arrow
 from sigtide.llm.words import find_words, mix, slices
 
 BUCKETS, WIDTH, NONZERO, REACH = 8192, 32, 4, 2
@@ -80,7 +80,7 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
             [pa.array(used), *[pa.array(sums[used, k]) for k in range(WIDTH)]], ["row", *names])
 
     schema = "row long, " + ", ".join(f"{n} double" for n in names)
-    got = docs.select(text).mapInArrow(run, schema).groupBy("row").agg(
+    got = map_arrow(docs.select(text), run, schema).groupBy("row").agg(
         *[F.sum(n).alias(n) for n in names]).toPandas()
     out = np.zeros((BUCKETS, WIDTH))
     out[got["row"].to_numpy(np.int64)] = got[names].to_numpy()
@@ -215,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     known = known.groupBy(F.col(doc).alias("_doc")).agg(F.min(label).cast("int").alias("_y"))
     kind = docs.schema[doc].dataType.simpleString()
     rows = docs.where(F.col(doc).isNotNull() & ~held_out(F.col(doc))).select(
-        F.col(doc).alias("_doc"), text).mapInArrow(run, f"_doc {kind}, _x binary").join(
-        known, "_doc").orderBy(F.xxhash64("_doc"), "_doc", "_x").limit(sample).select(
+        F.col(doc).alias("_doc"), text)
+    rows = map_arrow(rows, run, f"_doc {kind}, _x binary").join(known, "_doc").orderBy(F.xxhash64("_doc"), "_doc", "_x").limit(sample).select(
         "_x", "_y").toPandas()
     x = np.frombuffer(b"".join(rows["_x"]), float).reshape(len(rows), WIDTH + STATS)
     return train(vectors, x, rows["_y"].to_numpy(float))
@@ -243,4 +243,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -
                 [*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                 [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

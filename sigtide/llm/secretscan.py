@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sigtide.llm.schema import extended
+from sigtide.llm.arrow import extended, map_arrow
 
 # fixed values: the base patterns and their least lengths
 ASSIGN = re.compile(
@@ -185,4 +185,4 @@ def scan(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = tuple(_
             yield pa.RecordBatch.from_arrays([*batch.columns, *added],
                                              [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

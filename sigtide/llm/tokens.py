@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtide.llm import pretoken
-from sigtide.llm.schema import extended
+from sigtide.llm.arrow import extended, map_arrow
 
 FREQUENT = 1 << 16
 SAMPLE_DOCS = 2_000
@@ -60,8 +60,8 @@ def frequent_lengths(docs: DataFrame, path: str, text: str, frequent: int,
             [pa.array(hashes[top].view(np.int64)), pa.array(sizes[top].astype(np.int64)),
              pa.array(seen[top])], ["hash", "size", "seen"])
 
-    top = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(text).mapInArrow(
-        count, "hash long, size long, seen long").groupBy("hash").agg(
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(text)
+    top = map_arrow(some, count, "hash long, size long, seen long").groupBy("hash").agg(
         F.min("size").alias("size"), F.sum("seen").alias("seen")).orderBy(
         F.desc("seen"), "hash").limit(frequent).select("hash", "size").toPandas()
     return (top["hash"].to_numpy(np.int64).view(np.uint64), top["size"].to_numpy(np.int32))
@@ -106,4 +106,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", frequent: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, size, pa.array(out)],
                                              [*batch.schema.names, *names])
 
-    return docs.mapInArrow(count, schema)
+    return map_arrow(docs, count, schema)
