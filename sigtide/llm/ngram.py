@@ -194,8 +194,9 @@ def links(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     text of the same component are kept too, an id is one document. Texts without words and rows
     with a NULL id link with nothing, are their own class, and are kept.
     """
-    found = materialised(sketch(docs, doc, text, width), "sketch")
-    classes = materialised(found.where("_node is not null and _doc is not null").groupBy(
+    found = materialised(sketch(docs, doc, text, width).withColumn(
+        "_node", F.when(F.col("_doc").isNotNull(), F.col("_node"))), "sketch")
+    classes = materialised(found.where("_node is not null").groupBy(
         "_node").agg(F.min("_doc").alias("_rep"), F.count("*").alias("_n"),
                      F.min("_bands").alias("_bands")), "classes")
     tied = components(bucket_edges(classes))

@@ -154,7 +154,7 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
                   np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
     clear = float(np.clip(share, 0.01, 0.99))
     model.b2 = float(np.log(clear / (1 - clear)))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return model
     order = rng.permutation(len(y))
     held, own = order[:max(1, len(y) // 5)], order[max(1, len(y) // 5):]

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -420,7 +421,7 @@ def test_quality_without_labels(spark):
 # ---- pipeline ------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
-    sf = "/root/testdata/sf0.01"
+    sf = SMALL
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     for name, stage in corpus_pipeline.STAGES:
@@ -441,7 +442,7 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "quality":
             model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
             want = {i for i, r in before.items() if model.scores(quality.features(
-                __import__("pyarrow").array([r["text"]]), model.vectors))[0] >= 0.5}
+                pa.array([r["text"]]), model.vectors))[0] >= 0.5}
         elif name == "near_duplicates":
             ids = sorted(before)
             sets = [plain_shingles(before[i]["text"]) for i in ids]
