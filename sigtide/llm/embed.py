@@ -25,8 +25,9 @@ from sigtide.session import materialised
 THRESHOLD = 0.95
 BLOCK = 8192
 SAMPLE, MAX_PIVOTS = 4096, 1024
-RADII = (1.0, 0.5, 0.25, 0.125)
+RADII = (0.5, 0.25, 0.125)
 SLACK = 1e-7  # bounds keep this distance from a decision; cosines decide there
+SINGLE = 1e-5  # the same for cosines in single precision
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -41,19 +42,22 @@ def net(x: np.ndarray, rows: np.ndarray, radius: float) -> tuple[np.ndarray, np.
     """Greedy net of x[rows]: every row's centre, as an index into x, and the order of centres.
 
     Centres come in row order; rows within ``radius`` of an earlier centre are covered by it.
-    Candidates are compared in batches, so the work is matrix products.
+    Candidates are compared in batches, so the work is matrix products; single precision will do,
+    as covering radii are measured afterwards.
     """
+    single = x[rows].astype(np.float32)
+    least = 1 - radius * radius / 2
     centre = np.full(len(rows), -1)
     found: list[int] = []
     open_ = np.arange(len(rows))
     while len(open_):
         batch = open_[:256]
-        d = distances(x[rows[batch]], x[rows[open_]])
+        covers = single[batch] @ single[open_].T >= least
         new = []
         for i in range(len(batch)):
             if centre[batch[i]] < 0:
                 new.append(i)
-                near = open_[(d[i] <= radius) & (centre[open_] < 0)]
+                near = open_[covers[i] & (centre[open_] < 0)]
                 centre[near] = batch[i]
                 centre[batch[i]] = batch[i]
         found += [int(batch[i]) for i in new]
@@ -107,6 +111,27 @@ class Tree:
         return first, np.searchsorted(below, stop[nodes]) - first
 
 
+def near_centres(ca: np.ndarray, ra: np.ndarray, cb: np.ndarray, rb: np.ndarray, reach: float):
+    """Pairs of balls that may hold linked vectors, in strips: a superset, found in single precision.
+
+    Balls of similar radius share a strip, so a strip's bound is nearly that of its members.
+    """
+    def strips(centre, radius, size):
+        kind = np.ceil(radius / RADII[-1])
+        for k in np.unique(kind):
+            rows = np.flatnonzero(kind == k)
+            for i in range(0, len(rows), size):
+                part = rows[i:i + size]
+                yield part, centre[part].astype(np.float32), radius[part].max()
+
+    others = list(strips(cb, rb, 4096))
+    for rows, one, far in strips(ca, ra, 1024):
+        for cols, other, wide in others:
+            least = 1 - min(reach + far + wide, 2) ** 2 / 2 - SINGLE
+            p, q = np.nonzero(one @ other.T >= least)
+            yield rows[p], cols[q]
+
+
 def traverse(a: Tree, b: Tree, threshold: float = THRESHOLD):
     """Links of a's rows in b: (weight per row of a, weight per row of b, forest root per row).
 
@@ -178,11 +203,8 @@ def traverse(a: Tree, b: Tree, threshold: float = THRESHOLD):
             i = j
 
     # the top levels meet as matrix products, in strips
-    ca, ra, cb, rb = a.levels[0][2], a.levels[0][3], b.levels[0][2], b.levels[0][3]
-    for i in range(0, len(ca), 1024):
-        d = distances(ca[i:i + 1024], cb)
-        p, q = np.nonzero(d <= reach + ra[i:i + 1024, None] + rb + SLACK)
-        visit(0, p + i, q)
+    for p, q in near_centres(*a.levels[0][2:], *b.levels[0][2:], reach):
+        visit(0, p, q)
     fold(0)
     if same:
         wa -= a.weight
