@@ -18,7 +18,7 @@ import numpy as np
 from sigtide.llm.words import span_hashes
 
 SLICE_CHARS = 1 << 19
-CACHE_SLOTS = 1 << 22  # a worker's table is emptied when half full
+CACHE_SLOTS = 1 << 21  # a worker's table is emptied when half full
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END, _UNKNOWN = range(6)
 # fixed values: the code points with the property White_Space
