@@ -23,7 +23,6 @@ RISK_CONFLICT_WEIGHT = 0.4
 # ---- fixed values: text filters ------------------------------------------------------------------
 MIN_SCORABLE_CHARS = 20   # kept when strictly longer
 MIN_BODY_CHARS = 20       # kept when at least this long
-TOPIC_CHARS = 512
 REMOVED_BODIES = ("", "[removed]", "[deleted]")
 
 # ---- fixed values: regime bins on the volatility index (right-closed) -----------------------------

@@ -40,11 +40,6 @@ def post_body(title: Column, selftext: Column) -> Column:
         F.concat(title, F.lit("\n\n"), text))
 
 
-def topic_text(body: Column) -> Column:
-    """First 512 characters, the input length of an embedding model; optional in the stages."""
-    return F.substring(body, 1, K.TOPIC_CHARS)
-
-
 def record_id(prefix: str, key: Column) -> Column:
     """``<prefix>_`` and the first 16 hex digits of SHA-256 of the key."""
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(key, 256), 1, 16))

@@ -60,15 +60,14 @@ def bars(signals: DataFrame, prices: DataFrame, strategies: DataFrame,
     """Bars per strategy: the last ``lookback_days`` dates that have both signal and price.
 
     ``signals`` is (signal_source, date, signal), ``prices`` is (date, close). The equi-join on
-    the source has at most 1,260 bars per source on one side; AQE splits a source that most
+    the source has one bar per source and day on one side; AQE splits a source that most
     strategies share. Strategies left with too few bars are reported by ``rejected``.
     """
     latest = Window.partitionBy("signal_source").orderBy(F.col("date").desc())
     recent = (signals.join(prices.select("date", "close"), "date")
               .where(F.col("signal").isNotNull() & F.col("close").isNotNull())
-              .withColumn("_age", F.row_number().over(latest))
-              .where(F.col("_age") <= MAX_LOOKBACK))
-    # bars the source can offer: the age of its oldest kept bar
+              .withColumn("_age", F.row_number().over(latest)))
+    # bars the source can offer: the age of its oldest bar
     offered = F.max("_age").over(Window.partitionBy("signal_source"))
     recent = recent.withColumn("_offered", offered)
     joined = strategies.join(recent, "signal_source").where(

@@ -11,13 +11,14 @@ from sigtide.session import materialised
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in ``order``.
+    """The first row of each key in ``order``; rows without an order value come last.
 
     An aggregate, not a ``row_number`` window: each map task already reduces its copies to one
     row, so a key that holds a third of the table sends one row per task through the shuffle.
     """
     rest = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
+    first = F.min_by(
+        F.struct(*rest), F.struct(F.col(order).isNull().alias("last"), F.col(order))).alias("_first")
     return df.groupBy(key).agg(first).select(key, "_first.*").select(*df.columns)
 
 

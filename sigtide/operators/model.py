@@ -11,6 +11,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
@@ -205,14 +206,15 @@ def predict_latest(model: RegimeModel | None, matrix: DataFrame, order: str = "d
         order, "regime", "confidence", "probabilities")
 
 
-def attribution(model: RegimeModel, matrix: DataFrame, n: int = 50, permutations: int = 8,
+def attribution(model: RegimeModel, matrix: DataFrame, n: int = 50, permutations: int = 1,
                 seed: int = 42, order: str = "date") -> DataFrame:
     """Mean absolute contribution of each feature over the last ``n`` days and all classes.
 
-    Sampled Shapley values: for a day, a random feature order and a random other day, features
-    switch one by one from the other day's value to the day's own, and the change in probability
-    is the contribution of the feature that switched. Days x permutations x (features + 1) rows
-    are scored by one ``transform``; orders and partners come from hashes, so a rerun agrees.
+    Shapley values: for a day and each other of the ``n`` days, in ``permutations`` feature orders a
+    pair, features switch one by one from the other day's value to the day's own, and the change in
+    probability is the contribution of the feature that switched. Partners are complete, orders
+    are drawn (n x permutations of them a day) from hashes, so a rerun agrees. Days x days x
+    permutations x (features + 1) rows are scored by one ``transform``.
     """
     names, size = model.features, len(model.features)
     rows = select_features(tail_n(matrix, n, order), names, (order,))
@@ -221,10 +223,9 @@ def attribution(model: RegimeModel, matrix: DataFrame, n: int = 50, permutations
     days = rows.select(F.row_number().over(Window.orderBy(order)).alias("_day"),
                        values.alias("_own"))
     count = days.agg(F.max("_day")).scalar()
-    draws = days.select(
-        "_day", "_own", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("_perm"))
-    partner = F.pmod(F.xxhash64(F.lit(seed), "_day", "_perm"), count) + 1
-    draws = draws.withColumn("_partner", partner.cast("int")).join(
+    draws = days.select("_day", "_own", F.explode(
+        F.sequence(F.lit(0), count * permutations - 1)).alias("_perm"))
+    draws = draws.withColumn("_partner", (F.col("_perm") % count + 1).cast("int")).join(
         days.select(F.col("_day").alias("_partner"), F.col("_own").alias("_other")), "_partner")
     # Random order: feature indexes sorted by a hash of (seed, day, permutation, feature).
     shuffled = F.transform(F.array_sort(F.transform(
@@ -269,6 +270,16 @@ def save_model(model: RegimeModel, path: str) -> None:
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def load_optional(path: str) -> RegimeModel | None:
+    """The stored model, or None where none was saved yet."""
+    try:
+        return load_model(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def load_model(path: str) -> RegimeModel:
     meta = SparkSession.active().read.parquet(f"{path}/meta").first()
     return RegimeModel(PipelineModel.load(f"{path}/stages"), list(meta["classes"]),

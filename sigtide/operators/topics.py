@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +30,13 @@ class TopicModel:
 
 
 def fit_topics(df: DataFrame, method: str = "kmeans", column: str = "embedding", k: int = 10,
-               min_topic_size: int = 10, seed: int = 42, max_iter: int = 20,
-               vocabulary: int = 20_000) -> TopicModel:
+               min_topic_size: int = 10, seed: int = 42, max_iter: int = 10,
+               width: int = 1 << 16) -> TopicModel:
     """Cluster documents: k-means on supplied embeddings, or LDA on word counts.
 
+    Every LDA pass reads all documents (no mini-batches). Words are hashed to ``width`` columns, so
+    none is dropped and the model's size does not depend on the data.
+
     Clusters smaller than ``min_topic_size`` are not topics; their documents become noise (-1).
     Only the cluster sizes (k rows) reach the driver.
     """
@@ -44,10 +47,9 @@ def fit_topics(df: DataFrame, method: str = "kmeans", column: str = "embedding",
     elif method == "lda":
         model = Pipeline(stages=[
             RegexTokenizer(inputCol=column, outputCol="_words", pattern=TOKEN_BREAK),
-            CountVectorizer(inputCol="_words", outputCol="_features", vocabSize=vocabulary,
-                            minDF=2),
+            HashingTF(inputCol="_words", outputCol="_features", numFeatures=width),
             LDA(featuresCol="_features", topicDistributionCol="_mix", k=k, seed=seed,
-                maxIter=max_iter),
+                maxIter=max_iter, optimizer="online", subsamplingRate=1.0),
         ]).fit(df)
     else:
         raise ValueError(f"unknown method {method!r}")

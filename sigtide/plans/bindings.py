@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sigtide.functions.parse import json_double
 from sigtide.functions.text import record_id
-from sigtide.session import spread
 
 # fixed values: frequent invented words of the text tables, grouped for the word-list scorer and
 # the topic labels (the prose has no real finance vocabulary)
@@ -25,6 +24,7 @@ TOPIC_WORDS = {
     "geopolitics": ("zz", "qq"),
 }
 EDIT_WORDS = ("eauxque", "hain", "für die", "tion the", "queaux")
+SERIES = ("click", "error", "purchase", "signup", "view")  # the kinds of events
 START = "2024-01-01"
 
 
@@ -44,7 +44,7 @@ def pick(index: Column, *values: str) -> Column:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Raw text records, one per document."""
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", record_id("doc", F.col("doc_id").cast("string")).alias("id"), "source",
         F.col("lang").alias("source_type"), F.col("text").alias("body"),
         day_of(F.col("doc_id")).alias("date"))
@@ -99,11 +99,12 @@ def market_payloads(spark: SparkSession, sf: str) -> DataFrame:
         day_of(key).alias("date"), event.alias("event_ticker"), F.array(market).alias("markets"))
 
 
-def volatility_writes(spark: SparkSession, sf: str) -> DataFrame:
-    """Index values as written during each day; every third day has none."""
-    return table(spark, sf, "events").select(
+def volatility_writes(spark: SparkSession, sf: str, gaps: bool = False) -> DataFrame:
+    """Index values as written during each day; with ``gaps`` every third day has none."""
+    rows = table(spark, sf, "events").select(
         F.to_date("ts").alias("date"), "ts", "event_id", "event_type",
-        (F.col("value") / 2.0).alias("value")).where(F.dayofmonth("date") % 3 != 0)
+        (F.col("value") / 2.0).alias("value"))
+    return rows.where(F.dayofmonth("date") % 3 != 0) if gaps else rows
 
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,11 +138,13 @@ def status_shares(spark: SparkSession, sf: str) -> DataFrame:
         (F.count_if(status == "P") / n).alias("transition_prob"), n.alias("n_orders"))
 
 
-def regime_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily signals; none on days 7, 14, 21 and 28, so alignment has gaps to carry over."""
+def regime_signals(spark: SparkSession, sf: str, gaps: bool = False) -> DataFrame:
+    """Daily signals; with ``gaps`` none on days 7, 14, 21 and 28, for alignment to carry over."""
     on, off, mid = (F.col(f"{c}_prob") for c in ("risk_on", "risk_off", "transition"))
     best = F.greatest(on, off, mid)
-    return status_shares(spark, sf).where(F.dayofmonth("date") % 7 != 0).select(
+    shares = status_shares(spark, sf)
+    shares = shares.where(F.dayofmonth("date") % 7 != 0) if gaps else shares
+    return shares.select(
         "date", F.when(on == best, "risk_on").when(off == best, "risk_off").otherwise(
             "transition").alias("regime"), best.alias("confidence"), "risk_on_prob",
         "risk_off_prob", "transition_prob")

@@ -185,9 +185,10 @@ _MARKET_DAY = ", ".join(["CAST(date AS VARCHAR) AS date", _r("kalshi_regime_scal
 
 # macro series and regimes
 _cte("writes", """SELECT CAST(ts AS DATE) AS date, ts, event_id, event_type, value / 2.0 AS value
-  FROM events WHERE day(ts) % 3 <> 0""")
-_cte("points", """SELECT date, last(value ORDER BY ts, event_id) AS value FROM writes
+  FROM events""")
+_cte("all_points", """SELECT date, last(value ORDER BY ts, event_id) AS value FROM writes
   GROUP BY date""", "writes")
+_cte("points", "SELECT * FROM all_points WHERE day(date) % 3 <> 0", "all_points")
 _cte("event_days", "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events")
 
 
@@ -242,12 +243,13 @@ _cte("signals", """SELECT date, CASE WHEN risk_on_prob >= risk_off_prob
     AND risk_on_prob >= transition_prob THEN 'risk_on'
     WHEN risk_off_prob >= transition_prob THEN 'risk_off' ELSE 'transition' END AS regime,
   greatest(risk_on_prob, risk_off_prob, transition_prob) AS confidence, risk_on_prob,
-  risk_off_prob, transition_prob FROM shares3 WHERE day(date) % 7 <> 0""", "shares3")
+  risk_off_prob, transition_prob FROM shares3""", "shares3")
+_cte("gap_signals", "SELECT * FROM signals WHERE day(date) % 7 <> 0", "signals")
 _cte("filled", "SELECT date, " + ", ".join(
     f"last_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS {c}"
     for c in ("regime", "risk_on_prob", "risk_off_prob", "transition_prob")) + """ FROM (
   SELECT d.date, s.* EXCLUDE (date) FROM (SELECT DISTINCT date FROM returns) d
-  LEFT JOIN signals s USING (date))""", "returns", "signals")
+  LEFT JOIN gap_signals s USING (date))""", "returns", "gap_signals")
 _cte("aligned", "SELECT * FROM returns LEFT JOIN filled USING (date)", "returns", "filled")
 
 # validation
@@ -380,7 +382,6 @@ def oracle_sql() -> dict[str, str]:
     # text and sentiment
     o["text_clean"] = _sql(r"""SELECT doc_id, length(body) AS n_chars,
   CAST(length(body) >= 20 AS BIGINT) AS long_chars, strlen(body) AS n_bytes,
-  least(length(body), 512) AS topic_chars, md5(substr(body, 1, 512)) AS topic_md5,
   md5(CASE WHEN body IN ('', '[removed]', '[deleted]') THEN source_type
     ELSE source_type || chr(10) || chr(10) || body END) AS body_md5 FROM clean""", "clean")
     o["record_id"] = _sql(
@@ -491,7 +492,8 @@ def oracle_sql() -> dict[str, str]:
   'sec_edgar' AS source, 'filing' AS source_type, epoch(o_orderdate)::BIGINT AS epoch,
   md5(title) AS title_md5, md5(title) AS body_md5,
   'https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&filenum=' || num AS url,
-  o_orderstatus AS m_form_type, ent AS m_entity_name, per AS m_period_of_report FROM (SELECT *,
+  o_orderstatus AS m_form_type, ent AS m_entity_name, per AS m_period_of_report,
+  o_orderpriority AS m_display_names FROM (SELECT *,
     o_orderstatus || ' ' || coalesce(per, '') || ' filing by ' || ent AS title FROM (SELECT *,
       CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey AS VARCHAR) ELSE '0' END AS num,
       CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority ELSE 'Unknown' END AS ent,
@@ -505,7 +507,7 @@ def oracle_sql() -> dict[str, str]:
     - CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END END AS m_edit_delta, 'ed' AS m_user
   FROM pages WHERE page_id % 11 <> 0 AND page_id % 4 <> 0 AND page_id % 7 <> 0 AND ({words})"""
     # macro series and regimes
-    o["macro_last_write"] = _sql(f"SELECT {_D}, {_r('value')} FROM points", "points")
+    o["macro_last_write"] = _sql(f"SELECT {_D}, {_r('value')} FROM all_points", "all_points")
     o["vix_interpolated"] = _sql(f"SELECT {_D}, {_r('value')} FROM vix", "vix")
     o["nearest_join"] = _sql(f"""SELECT CAST(d.date AS VARCHAR) AS date, {_r('p.value', 'value')},
   CAST(p.date AS VARCHAR) AS seen FROM event_days d JOIN points p ON p.date = (SELECT date FROM points q
@@ -514,8 +516,7 @@ def oracle_sql() -> dict[str, str]:
                               + _regimes("event_days", "vix") + ")", "event_days", "vix")
     o["macro_pivot"] = _sql(f"SELECT {_D}, " + ", ".join(_r(
         f"last(value ORDER BY ts, event_id) FILTER (event_type = '{s}')", s)
-        for s in ("click", "purchase", "signup")) + """ FROM writes w
-  WHERE event_type IN ('click', 'purchase', 'signup') GROUP BY w.date""", "writes")
+        for s in B.SERIES) + " FROM writes w GROUP BY w.date", "writes")
     # panel
     names = [("cross_composite", 1), ("cross_positive", 1), ("cross_negative", 1),
              ("cross_count", 0), ("mean_goldstein", 1), ("std_goldstein", 1), ("mean_tone", 1),
@@ -537,7 +538,7 @@ def oracle_sql() -> dict[str, str]:
   total_events::DOUBLE AS total_events FROM geo""", "geo")
     o["composite_signal"] = _sql(
         f"SELECT {_D}, {_r('cross_composite * 0.6 - geopolitical_risk_score * 0.4', 'signal')} "
-        "FROM sent JOIN geo USING (date) ORDER BY sent.date DESC LIMIT 20", "sent", "geo")
+        "FROM sent JOIN geo USING (date)", "sent", "geo")
     # prices and alignment
     o["prices_long"] = """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
   o_orderpriority AS ticker, round(max(o_totalprice), 6) + 0.0 AS close FROM orders
@@ -554,8 +555,8 @@ def oracle_sql() -> dict[str, str]:
         "risk_on_prob", "risk_off_prob", "transition_prob")) + " FROM aligned", "aligned")
     o["asof_align"] = _sql(f"""SELECT CAST(p.date AS VARCHAR) AS date, p.ticker, {_r('p.close', 'close')},
   s.regime, {_r('s.risk_on_prob', 'risk_on_prob')} FROM prices p ASOF LEFT JOIN (
-    SELECT date - 1 AS date, regime, risk_on_prob FROM signals) s ON s.date <= p.date
-  WHERE dayofweek(p.date) IN (1, 3, 5)""", "prices", "signals")
+    SELECT date - 1 AS date, regime, risk_on_prob FROM gap_signals) s ON s.date <= p.date""",
+                           "prices", "gap_signals")
     # validation
     o["ic_summary"] = _sql(f"""SELECT f.ticker, f.horizon, {_r('f.rho', 'ic')},
   {_r('CASE WHEN abs(f.rho) >= 1 THEN 0.0 ELSE p END', 'ic_pvalue')},
@@ -618,6 +619,10 @@ def oracle_sql() -> dict[str, str]:
   sum(CASE WHEN source_type IN ('es', 'de') THEN 0 ELSE length(body) END)::BIGINT AS n_chars
   FROM docs d GROUP BY source, d.date, 3""", "docs")
     o["stream_daily"] = o["geo_daily"]
+    o["stream_recomputed"] = _sql(
+        f"SELECT {_D}, conflict_events, cooperation_events, total_events, {_r('conflict_ratio')} "
+        "FROM geo", "geo")
+    o["stream_markets"] = o["market_scalar"]
     o["stream_dedup"] = "SELECT DISTINCT user_id AS id FROM events"
     # model
     o["training_labels"] = _sql(
@@ -643,10 +648,9 @@ def oracle_sql() -> dict[str, str]:
   SELECT fold, class, {_r('p', 'precision')}, {_r('r', 'recall')},
   {_r('coalesce(2.0 * p * r / nullif(p + r, 0), 0.0)', 'f1')}, support, {_r('hits / n', 'accuracy')}
   FROM q"""
-    o["latest_signal"] = _sql(f"""SELECT {_D}, regime, {_r('confidence')},
-  (SELECT count(DISTINCT source) FROM docs) AS n_sources,
-  (SELECT count(DISTINCT date) FROM docs WHERE source = 'src3') AS src3_days,
-  (SELECT count(*) FROM docs WHERE source = 'src3') AS src3_records
-  FROM signals ORDER BY signals.date DESC LIMIT 1""", "signals", "docs")
+    o["latest_signal"] = _sql(f"""SELECT s.*, source, n_days, n_records FROM (
+  SELECT {_D}, regime, {_r('confidence')} FROM signals ORDER BY signals.date DESC LIMIT 1) s,
+  (SELECT source, count(DISTINCT date) AS n_days, count(*) AS n_records FROM docs GROUP BY source)""",
+                              "signals", "docs")
     return o
 

@@ -83,8 +83,7 @@ def text_clean(spark, sf):
     return docs.select(
         "doc_id", F.length("body").alias("n_chars"), words.long_enough(F.col("body")).cast(
             "int").alias("long_chars"), F.octet_length("body").alias("n_bytes"),
-        F.length(words.topic_text(F.col("body"))).alias("topic_chars"),
-        F.md5(words.topic_text(F.col("body"))).alias("topic_md5"), F.md5(body).alias("body_md5"))
+        F.md5(body).alias("body_md5"))
 
 
 @_query
@@ -360,7 +359,9 @@ def normalize_edgar(spark, sf):
     landed = B.table(spark, sf, "orders").select(
         F.struct(F.array(filing).alias("hits")).alias("hits"), "o_orderstatus")
     return _shown(normalize.normalize_edgar(landed, F.col("o_orderstatus")), form_type="string",
-                  entity_name="string", period_of_report="string")
+                  entity_name="string", period_of_report="string",
+                  display_names="array<string>").withColumn(
+        "m_display_names", F.array_join("m_display_names", "|"))
 
 
 def _edit_lines(spark, sf):
@@ -386,9 +387,9 @@ def normalize_wikipedia(spark, sf):
 
 # ---- macro series and regimes --------------------------------------------------------------------
 
-def _points(spark, sf):
+def _points(spark, sf, gaps=True):
     return features.last_write_wins(
-        B.volatility_writes(spark, sf), "date", "value", ("ts", "event_id"))
+        B.volatility_writes(spark, sf, gaps), "date", "value", ("ts", "event_id"))
 
 
 def _event_days(spark, sf):
@@ -397,7 +398,7 @@ def _event_days(spark, sf):
 
 @_query
 def macro_last_write(spark, sf):
-    return _points(spark, sf)
+    return _points(spark, sf, gaps=False)
 
 
 @_query
@@ -419,7 +420,7 @@ def regime_labels(spark, sf):
 @_query
 def macro_pivot(spark, sf):
     return features.macro_pivot(
-        B.volatility_writes(spark, sf), ["click", "purchase", "signup"], ("ts", "event_id"),
+        B.volatility_writes(spark, sf), list(B.SERIES), ("ts", "event_id"),
         series="event_type")
 
 
@@ -454,7 +455,7 @@ def _composite(spark, sf):
 
 @_query
 def composite_signal(spark, sf):
-    return timeseries.tail_n(_composite(spark, sf), 20)
+    return _composite(spark, sf)
 
 
 # ---- prices and alignment ------------------------------------------------------------------------
@@ -490,7 +491,7 @@ def series_tail(spark, sf):
 
 def _aligned(spark, sf, mode="exact_ffill"):
     return timeseries.align_signals(
-        _returns(spark, sf), B.regime_signals(spark, sf).drop("confidence"), mode)
+        _returns(spark, sf), B.regime_signals(spark, sf, gaps=True).drop("confidence"), mode)
 
 
 @_query
@@ -500,14 +501,13 @@ def ffill_align(spark, sf):
 
 def _weekend_signals(spark, sf):
     """Signals whose day is moved so that some fall on days without prices."""
-    return B.regime_signals(spark, sf).select(
+    return B.regime_signals(spark, sf, gaps=True).select(
         F.date_sub("date", 1).alias("date"), "regime", "risk_on_prob")
 
 
 @_query
 def asof_align(spark, sf):
-    sparse = B.prices(spark, sf).where(F.dayofweek("date").isin(2, 4, 6))
-    return timeseries.align_signals(sparse, _weekend_signals(spark, sf), "asof")
+    return timeseries.align_signals(B.prices(spark, sf), _weekend_signals(spark, sf), "asof")
 
 
 # ---- validation ----------------------------------------------------------------------------------
@@ -692,6 +692,33 @@ def stream_daily(spark, sf):
     return spark.read.parquet(path).drop("year")
 
 
+@_query
+def stream_recomputed(spark, sf):
+    """Events that arrive in two streams, the second one all late: the counts have every event."""
+    store, path = scratch_path(spark, "events"), scratch_path(spark, "recomputed")
+    build = lambda rows: features.geo_daily(features.geo_fields(rows))
+    for late in (False, True):
+        rows = _stream_events(spark, sf).where((F.col("event_id") % 3 == 0) == F.lit(late)).select(
+            F.col("ts").cast("timestamp").alias("timestamp"), B.news_metadata().alias("metadata"))
+        streaming.run_recomputed(
+            rows, store, build, path, scratch_path(spark, "recomputed-state"),
+            source="late" if late else "live").awaitTermination()
+    return spark.read.parquet(path).select("date", "conflict_events", "cooperation_events",
+                                           "total_events", "conflict_ratio")
+
+
+@_query
+def stream_markets(spark, sf):
+    """The streaming market table equals the batch table; landed records arrive as files."""
+    landed, path = scratch_path(spark, "markets"), scratch_path(spark, "market-days")
+    _markets(spark, sf).withColumn("fetched_at", F.col("date").cast("timestamp")).drop("date").write.parquet(
+        landed)
+    rows = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    streaming.run_to_table(streaming.market_stream(rows), path, scratch_path(
+        spark, "market-state")).awaitTermination()
+    return spark.read.parquet(path).drop("year")
+
+
 @_query
 def stream_dedup(spark, sf):
     """First event per user through the stateful operator: the set of users."""
@@ -749,8 +776,8 @@ def train_predict(spark, sf):
     fitted, folds = model.train(labelled)
     report = model.class_report(folds).groupBy("fold").agg(F.first("accuracy").alias("accuracy"))
     latest = model.predict_latest(fitted, labelled).select("date", "regime", "confidence")
-    return report.withColumn("_k", F.lit(1)).join(
-        F.broadcast(latest.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    newest = latest.select(F.struct(*latest.columns)).scalar()  # one row
+    return report.withColumn("_l", newest).select("fold", "accuracy", "_l.*")
 
 
 @_query
@@ -772,11 +799,8 @@ def attribution(spark, sf):
 def latest_signal(spark, sf):
     """Newest published signal with the record counts of each source."""
     latest = tables.feature_tail(B.regime_signals(spark, sf), 1, serve.SIGNAL_COLUMNS)
-    out = serve.with_source_counts(latest, B.documents(spark, sf), "source", "date")
-    return out.select(
-        "date", "regime", "confidence", F.size("source_counts").alias("n_sources"),
-        F.element_at("source_counts", F.lit("src3")).alias("src3_days"),
-        F.element_at("source_records", F.lit("src3")).alias("src3_records"))
+    return serve.with_source_counts(latest, B.documents(spark, sf), "source", "date").select(
+        "date", "regime", "confidence", "source", "n_days", "n_records")
 
 
 @_query
@@ -792,6 +816,6 @@ def topic_fit(spark, sf):
 def topic_fit_text(spark, sf):
     """Topics of the document texts by latent Dirichlet allocation."""
     docs = sentiment.scorable(B.documents(spark, sf))
-    fitted = topics.fit_topics(docs, "lda", "body", 8, max_iter=5)
+    fitted = topics.fit_topics(docs, "lda", "body", 8)
     return topics.assign_topics(fitted, docs).groupBy("date", "topic_id").agg(
         F.count(F.lit(1)).alias("n"))

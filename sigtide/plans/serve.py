@@ -34,26 +34,21 @@ def latest_signal(spark: SparkSession, root: str) -> DataFrame:
 
     Days and records are both returned; a count of dated files alone says little.
     """
-    fitted = model.load_model(stages.Paths(root).model)
+    fitted = model.load_optional(stages.Paths(root).model)
     latest = model.predict_latest(fitted, stages.matrix(spark, root))
     return with_source_counts(latest, raw.read_raw_table(spark, root))
 
 
 def with_source_counts(latest: DataFrame, records: DataFrame, source: str = "feed",
                        date: str = "ingest_date") -> DataFrame:
-    """Attach ``source_counts`` (days) and ``source_records`` maps to a one-row frame.
+    """One row per feed: the columns of the one-row frame ``latest``, feed, n_days, n_records.
 
-    There is one entry per feed; feeds are a handful of configured collectors.
+    Feeds stay a table however many there are; the caller folds them into a map if it wants one.
+    Without any record the result is empty.
     """
-    counts = raw.source_counts(records, source, date)
-
-    def as_map(value):
-        return F.map_from_entries(F.sort_array(F.collect_list(F.struct(source, value))))
-
-    maps = counts.agg(as_map("n_days").alias("source_counts"),
-                      as_map("n_records").alias("source_records"))
-    return latest.withColumn("_k", F.lit(1)).join(
-        F.broadcast(maps.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    newest = latest.select(F.struct(*latest.columns)).scalar()
+    return raw.source_counts(records, source, date).withColumn("_l", newest).select(
+        "_l.*", source, "n_days", "n_records")
 
 
 def sentiment_tail(spark: SparkSession, root: str, days: int = 60) -> DataFrame:

@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from sigtide import constants as K
 from sigtide import schemas
-from sigtide.functions.text import strip_text, topic_text
+from sigtide.functions.text import strip_text
 from sigtide.operators import features, labels, model, sentiment, topics, validation
 from sigtide.operators.timeseries import align_signals, forward_returns, tail_n
-from sigtide.session import spread
 from sigtide.sources import backfill as history
 from sigtide.sources import raw, tables
 from sigtide.sources.normalize import normalize_markets, parse_payload
@@ -98,7 +97,7 @@ def _logged(spark: SparkSession, paths: Paths, stage: str, work: Callable[[], tu
         result, rows, notes = work()
     except Exception as error:
         tables.log_run(spark, paths.runs, stage, "failed", None, time.monotonic() - start,
-                       str(error)[:500])
+                       str(error))
         raise
     tables.log_run(spark, paths.runs, stage, "ok", rows, time.monotonic() - start, notes)
     return result
@@ -114,7 +113,7 @@ def records(spark: SparkSession, root: str, sources: Sequence[str] | None = None
     day = F.to_date("timestamp") if date_col == "event_date" else F.col(date_col)
     if since is not None:
         df = df.where(day >= F.lit(since).cast("date"))
-    return spread(df).withColumn("date", day)
+    return df.withColumn("date", day)
 
 
 def _since(df: DataFrame, since: str | None) -> DataFrame:
@@ -145,13 +144,12 @@ def stage_sentiment(spark: SparkSession, root: str, scorer="lexicon",
 
 
 def stage_topics(spark: SparkSession, root: str, sources: Sequence[str] | None = None,
-                 k: int = 20, min_topic_size: int = 10, first_chars: bool = False,
+                 k: int = 20, min_topic_size: int = 10,
                  date_col: str = "ingest_date") -> None:
     """Fit topics on the text, label them by their words, write assignments and daily counts.
 
     Text and metadata are filtered together, so assignments always line up with their records.
-    Whole texts are used; ``first_chars=True`` cuts them to the 512 characters an embedding model
-    would read. Topics are fitted anew, so every day is rewritten.
+    Whole texts are used. Topics are fitted anew, so every day is rewritten.
     """
     paths = Paths(root)
 
@@ -159,8 +157,7 @@ def stage_topics(spark: SparkSession, root: str, sources: Sequence[str] | None =
         body = strip_text(F.coalesce("body", F.lit("")))
         docs = records(spark, root, sources, date_col).where(
             F.length(body) > K.MIN_SCORABLE_CHARS).select(
-            "id", "source", "source_type", "date",
-            topic_text(F.col("body")).alias("body") if first_chars else "body")
+            "id", "source", "source_type", "date", "body")
         fitted = topics.fit_topics(docs, "lda", "body", k, min_topic_size)
         assigned = topics.assign_topics(fitted, docs)
         names = topics.topic_labels(topics.class_tfidf(assigned))
@@ -267,7 +264,7 @@ def stage_predict(spark: SparkSession, root: str, all_days: bool = False) -> Dat
 
 
 def stage_attribution(spark: SparkSession, root: str, n: int = 50,
-                      permutations: int = 8) -> DataFrame:
+                      permutations: int = 1) -> DataFrame:
     """Write all feature attributions; returns the ten largest."""
     paths = Paths(root)
 

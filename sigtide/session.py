@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,15 +36,15 @@ def build_session(app: str = "sigtide", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting falls back to a fresh temporary folder: there
-    driver and executors are one process. Elsewhere a missing setting is an error, because a
-    machine-local folder would be lost with its executor.
+    Without that setting only a ``local[n]`` session, as in tests, gets a fresh temporary folder:
+    there driver and executors are one process. Elsewhere, ``local-cluster`` included, a missing
+    setting is an error, because a machine-local folder would be lost with its executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     global _LOCAL_DIR
     if _LOCAL_DIR is None:
@@ -70,13 +71,3 @@ def materialised(df, name: str):
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(scan):
-    """Give every core a share of a scan that has fewer tasks than the cluster has cores.
-
-    For CPU-heavy text work on few or unsplittable files. A scan with enough tasks, as any large
-    table has, is returned unchanged. Only meant for plain scans: counting the tasks of a plan
-    with shuffles would run them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

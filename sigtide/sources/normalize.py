@@ -89,17 +89,24 @@ def normalize_gdelt(df: DataFrame, query: Column | str) -> DataFrame:
 
 
 def number_text(value: Column) -> Column:
-    """Shortest plain rendering: ``5`` for 5.0 and no exponent.
+    """All digits of a double without an exponent: ``5`` for 5.0.
 
-    Between 0.001 and ten million the plain cast is already the shortest text; only numbers it
-    would show with an exponent go through a decimal.
+    The cast gives the digits and perhaps an exponent; the exponent moves the decimal point.
     """
-    size = F.abs(value)
-    whole = (value == F.floor(value)) & (size < 1e15)
-    return (F.when(whole, value.cast("bigint").cast("string"))
-            .when((size >= 1e-3) & (size < 1e7), value.cast("string"))
-            .otherwise(F.regexp_replace(
-                value.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")))
+    shown = F.abs(value).cast("string")
+    whole = F.regexp_extract(shown, r"^([0-9]+)", 1)
+    part = F.regexp_extract(shown, r"\.([0-9]+)", 1)
+    power = F.coalesce(F.regexp_extract(shown, r"E(-?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    digits = F.concat(whole, part)
+    point = F.length(whole) + power  # digits before the decimal point
+    zero = F.lit("0")
+    padded = F.concat(F.repeat(zero, F.greatest(1 - point, F.lit(0))), digits,
+                      F.repeat(zero, F.greatest(point - F.length(digits), F.lit(0))))
+    at = F.greatest(point, F.lit(1))
+    text = F.concat(F.substring(padded, F.lit(1), at), F.lit("."),
+                    F.substring(padded, at + 1, F.length(padded)))
+    plain = F.regexp_replace(F.regexp_replace(text, r"\.?0*$", ""), r"^0+(?=[0-9])", "")
+    return F.concat(F.when(value < 0, "-").otherwise(""), plain)
 
 
 def normalize_fred(df: DataFrame, series: Column | str) -> DataFrame:
@@ -148,12 +155,11 @@ def normalize_edgar(df: DataFrame, form: Column | str) -> DataFrame:
 
 
 def normalize_wikipedia(df: DataFrame, column: str = "value",
-                        keywords: Sequence[str] = K.MACRO_EDIT_KEYWORDS,
-                        limit: int | None = None) -> DataFrame:
+                        keywords: Sequence[str] = K.MACRO_EDIT_KEYWORDS) -> DataFrame:
     """Edit events from server-sent ``data: {json}`` lines (batch or streaming).
 
-    Keeps encyclopedia edits whose title or comment contains a macro keyword. ``limit`` is the
-    first-N cap of a batch run; a stream bounds its batches by files per trigger instead.
+    Keeps encyclopedia edits whose title or comment contains a macro keyword. There is no first-N
+    cap; a stream bounds its batches by files per trigger.
     """
     prefix = "data: "
     lines = df.where(F.startswith(F.col(column), F.lit(prefix))).select(
@@ -167,7 +173,7 @@ def normalize_wikipedia(df: DataFrame, column: str = "value",
     delta = F.when(F.col("length").isNotNull(),
                    F.coalesce(F.col("length.new"), F.lit(0)) - F.coalesce(
                        F.col("length.old"), F.lit(0)))
-    out = _record(
+    return _record(
         rows,
         id=record_id("wiki", F.concat(F.lit("wiki_"), title, F.lit("_"), comment)),
         source=F.lit("wikipedia"), source_type=F.lit("event"),
@@ -176,7 +182,6 @@ def normalize_wikipedia(df: DataFrame, column: str = "value",
         url=F.concat(F.lit("https://en.wikipedia.org/wiki/"),
                      F.replace(title, F.lit(" "), F.lit("_"))),
         metadata=_meta(server=F.col("server_name"), edit_delta=delta, user=F.col("user")))
-    return out.limit(limit) if limit is not None else out
 
 
 def normalize_markets(df: DataFrame, event: Column | str,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sigtide import constants as K
 from sigtide.functions.parse import clip
+from sigtide.operators.features import market_daily
 from sigtide.operators.model import RegimeModel, predict_latest
 from sigtide.sources.normalize import normalize_wikipedia
 from sigtide.sources.tables import publish_signal, read_optional, upsert_daily
@@ -53,7 +54,8 @@ def _daily(rows: DataFrame, timestamp: str, watermark: str, window: str,
            aggregates: Sequence[Column]) -> DataFrame:
     """Calendar-day buckets with bounded lateness; partial sums combine before the shuffle.
 
-    Rows later than the watermark are dropped here and belong to the batch backfill.
+    Rows later than the watermark are dropped from this running result; ``run_recomputed`` has no
+    watermark and takes them in by computing the touched days anew.
     """
     bucket = F.window(F.col(timestamp), window).alias("_w")
     return rows.withWatermark(timestamp, watermark).groupBy(bucket).agg(*aggregates).select(
@@ -85,6 +87,40 @@ def geo_stream(events: DataFrame, timestamp: str = "timestamp", watermark: str =
         + F.col("conflict_ratio") * K.RISK_CONFLICT_WEIGHT, -1.0, 1.0))
 
 
+def market_stream(records: DataFrame, timestamp: str = "fetched_at", watermark: str = "2 days",
+                  window: str = "1 day") -> DataFrame:
+    """Streaming form of the daily market scalar and counts."""
+    rows = records.withWatermark(timestamp, watermark).withColumn(
+        "_day", F.window(F.col(timestamp), window))
+    daily = market_daily(rows, "_day")
+    return daily.select(F.to_date("_day.start").alias("date"), *daily.columns[1:])
+
+
+def run_recomputed(records: DataFrame, store: str, build: Callable[[DataFrame], DataFrame],
+                   path: str, checkpoint: str, timestamp: str = "timestamp",
+                   source: str = "live", **trigger) -> StreamingQuery:
+    """Append records to a table by event day, then compute the days they touch anew from it.
+
+    No state and no watermark: a record may be late by any time. ``build`` turns stored records with
+    a ``date`` into daily rows, which replace the stored days. Each batch of a ``source`` writes its
+    records to its own ``batch`` partition, so one that is replayed after a failure overwrites
+    itself. Reading is pruned to the touched days.
+    """
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("date", F.to_date(timestamp)).where(F.col("date").isNotNull())
+        name = f"{source}-{batch_id}"
+        (rows.withColumn("batch", F.lit(name)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(store))
+        if rows.isEmpty():
+            return
+        stored = batch.sparkSession.read.parquet(store)
+        touched = stored.where(F.col("batch") == name).select("date").distinct()
+        upsert_daily(build(stored.join(touched, "date", "left_semi")), path)
+
+    return (records.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or ONCE)).start())
+
+
 def run_to_table(daily: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Upsert updated days into a daily table after every batch.
 

@@ -207,9 +207,9 @@ def test_served_reads(spark, world):
     assert market[0].kalshi_n_markets == 1 and market[0].kalshi_regime_scalar == pytest.approx(-0.18)
     newest = serve.latest_markets(spark, world).collect()
     assert [(str(r.date), r["count"]) for r in newest] == [("2024-02-02", 1)]
-    latest = serve.latest_signal(spark, world).first()
-    assert latest.source_counts == {"fred": 60, "gdelt": 60, "reddit": 60}
-    assert latest.source_records["gdelt"] == 360
+    latest = {r.feed: r for r in serve.latest_signal(spark, world).collect()}
+    assert {k: r.n_days for k, r in latest.items()} == {"fred": 60, "gdelt": 60, "reddit": 60}
+    assert latest["gdelt"].n_records == 360 and latest["gdelt"].regime in latest["gdelt"].probabilities
     assert serve.signal_history(spark, world).count() == 1
     with pytest.raises(ValueError):
         serve.geo_tail(spark, world, 0)
