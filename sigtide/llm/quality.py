@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sigtide.llm.arrow import extended, map_arrow
 from sigtide.llm.words import find_words, mix, slices
+from sigtide.session import materialised
 
 BUCKETS, WIDTH, NONZERO, REACH = 8192, 32, 4, 2
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 32, 60, 7
@@ -195,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
         label: str = "quality", sample: int = SAMPLE) -> Model:
     """Word vectors over all documents, the network from labelled rows outside the held-out fold.
 
-    At most ``sample`` labelled rows are taken, in the order of a hash. Contradicting labels of one
-    id count as 0; NULL labels and ids are left out.
+    At most ``sample`` labelled ids are taken: all of them if they are no more, else those whose hash
+    falls into a share that gives nine tenths of ``sample``. An id with several texts gives one row.
+    Contradicting labels of one id count as 0; NULL labels and ids are left out.
     """
     sums = context_sums(docs, text)
     vectors = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
@@ -213,11 +215,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 
     known = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull() & ~held_out(F.col(doc)))
     known = known.groupBy(F.col(doc).alias("_doc")).agg(F.min(label).cast("int").alias("_y"))
+    ids = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("_doc"))
+    n = known.join(ids, "_doc", "left_semi").count()
+    share = 1 if n <= sample else -(-10 * n // (9 * sample))
+    drawn = F.pmod(F.xxhash64("_doc"), F.lit(share)) == 0
+    # at most ``sample`` rows, so the broadcast is bounded; only their texts become features
+    chosen = materialised(known.where(drawn).join(ids.where(drawn), "_doc", "left_semi").limit(
+        sample), "labelled")
     kind = docs.schema[doc].dataType.simpleString()
-    rows = docs.where(F.col(doc).isNotNull() & ~held_out(F.col(doc))).select(
-        F.col(doc).alias("_doc"), text)
-    rows = map_arrow(rows, run, f"_doc {kind}, _x binary").join(known, "_doc").orderBy(F.xxhash64("_doc"), "_doc", "_x").limit(sample).select(
-        "_x", "_y").toPandas()
+    texts = docs.select(F.col(doc).alias("_doc"), text).join(
+        F.broadcast(chosen.select("_doc")), "_doc", "left_semi")
+    rows = map_arrow(texts, run, f"_doc {kind}, _x binary").groupBy("_doc").agg(
+        F.min("_x").alias("_x")).join(chosen, "_doc").select("_doc", "_x", "_y").toPandas()
+    rows = rows.sort_values("_doc", ignore_index=True)
     x = np.frombuffer(b"".join(rows["_x"]), float).reshape(len(rows), WIDTH + STATS)
     return train(vectors, x, rows["_y"].to_numpy(float))
 
