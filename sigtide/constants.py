@@ -76,15 +76,6 @@ BACKFILL_PERIODS = {
     "post_svb": ("2023-05-01", "2024-01-01"),
 }
 BACKFILL_SUBREDDITS = ("investing", "MacroEconomics", "wallstreetbets", "Economics")
-NEWS_QUERIES = (
-    "Federal Reserve interest rates monetary policy",
-    "inflation CPI economic recession",
-    "geopolitical risk sanctions war",
-    "credit markets yield spread default",
-    "China economy trade dollar",
-)
-FILING_FORMS = ("8-K", "10-K")
-MACRO_SERIES = ("UNRATE", "CPIAUCSL", "DGS10", "DGS2", "VIXCLS")
 VOLATILITY_SERIES = "VIXCLS"
 
 # ---- fixed values: validation ------------------------------------------------------------------------

@@ -189,6 +189,16 @@ def metrics(marked: DataFrame) -> DataFrame:
         (F.col("_wins") / F.greatest(F.col("n_trades"), F.lit(1))).alias("win_rate"), "n_trades")
 
 
+# fixed values: decimals of the reported ratios
+SHOWN = {"total_return": 4, "annualized_return": 4, "sharpe_ratio": 3, "sortino_ratio": 3,
+         "max_drawdown": 4, "calmar_ratio": 3, "win_rate": 3}
+
+
+def rounded(result: DataFrame) -> DataFrame:
+    """Metrics as they are reported."""
+    return result.withColumns({c: F.round(c, digits) for c, digits in SHOWN.items()})
+
+
 def summary_text(result: DataFrame) -> DataFrame:
     """Adds the one-sentence summary. Shown numbers are rounded half to even."""
     def shown(value, digits):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from sigtide import constants as K
 from sigtide.functions.text import WHITE_SPACE
+from sigtide.operators.backtest import SHOWN
 from sigtide.plans import bindings as B
 from sigtide.plans.queries import STRATEGIES
 
@@ -586,6 +587,13 @@ def oracle_sql() -> dict[str, str]:
   {_r('total_return')}, {_r('ann', 'annualized_return')}, {_ratio('vol', 'sharpe_ratio')},
   {_ratio('down', 'sortino_ratio')}, {_r('max_drawdown')},
   {_ratio('abs(max_drawdown)', 'calmar_ratio')}, {_r('win_rate')}, n_trades FROM metrics""", "metrics")
+    ratio = "coalesce(CASE WHEN {0} > 0 THEN ann / {0} END, 0.0)".format
+    exact = {"annualized_return": "ann", "sharpe_ratio": ratio("vol"), "sortino_ratio": ratio("down"),
+             "calmar_ratio": ratio("abs(max_drawdown)")}
+    o["backtest_reported"] = _sql(
+        "SELECT strategy_id, signal_source, lookback_days, n_bars, n_trades, " + ", ".join(
+            f"round({exact.get(c, c)}, {d}) + 0.0 AS {c}" for c, d in SHOWN.items())
+        + " FROM metrics", "metrics")
     o["backtest_summary"] = _sql("""SELECT strategy_id, n_trades, printf('%s signal backtest over '
   || '%d days. Strategy produced %s annualized returns of %.1f%% with Sharpe %.2f, max drawdown '
   || '%.1f%%, and %d trades at %.0f%% win rate.', upper(signal_source[1]) || signal_source[2:],
@@ -623,6 +631,15 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {_D}, conflict_events, cooperation_events, total_events, {_r('conflict_ratio')} "
         "FROM geo", "geo")
     o["stream_markets"] = o["market_scalar"]
+    o["stream_sentiment"] = o["sentiment_daily"]
+    o["raw_by_day"] = _sql("""SELECT source AS feed, CAST(d.date AS VARCHAR) AS ingest_date,
+  count(*) AS n, sum(length(body))::BIGINT AS n_chars FROM docs d
+  WHERE d.date IN (DATE '2024-01-05', DATE '2024-01-20') GROUP BY source, d.date""", "docs")
+    o["ingest_all"] = " UNION ALL ".join(
+        f"SELECT '{feed}' AS feed, '2024-02-01' AS ingest_date, count({what}) AS n, "
+        f"min(id) AS first_id, max(id) AS last_id FROM ({o['normalize_' + feed]}) x"
+        for feed, what in (("reddit", "*"), ("gdelt", "DISTINCT id"), ("fred", "*"),
+                           ("edgar", "*")))
     o["stream_dedup"] = "SELECT DISTINCT user_id AS id FROM events"
     # model
     o["training_labels"] = _sql(
@@ -648,6 +665,19 @@ def oracle_sql() -> dict[str, str]:
   SELECT fold, class, {_r('p', 'precision')}, {_r('r', 'recall')},
   {_r('coalesce(2.0 * p * r / nullif(p + r, 0), 0.0)', 'f1')}, support, {_r('hits / n', 'accuracy')}
   FROM q"""
+    quarter = """SELECT date, ['risk_on', 'transition', 'risk_off'][quarter(date) % 3 + 1] AS regime
+  FROM shares3"""
+    o["predict_known"] = _sql(f"SELECT {_D}, regime FROM ({quarter}) q", "shares3")
+    o["train_known"] = _sql(f"""SELECT fold, regime AS class, 1.0::DOUBLE AS precision,
+  1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, count(*) AS support, 1.0::DOUBLE AS accuracy FROM (
+    SELECT regime, unnest(range(0, 2)) AS fold, row_number() OVER (ORDER BY date) - 1 AS i,
+      count(*) OVER () AS n FROM ({quarter}) q)
+  WHERE i >= n - (2 - fold) * (n // 3) AND i < n - (1 - fold) * (n // 3) GROUP BY fold, regime""",
+                            "shares3")
+    o["latest_known"] = _sql(f"""SELECT {_D}, CASE WHEN known THEN regime ELSE 'unknown' END AS regime,
+  source, n_days, n_records FROM (SELECT * FROM ({quarter}) q ORDER BY date DESC LIMIT 1) l,
+  (SELECT unnest([true, false]) AS known) k, (SELECT source, count(DISTINCT date) AS n_days,
+    count(*) AS n_records FROM docs GROUP BY source) c""", "shares3", "docs")
     o["latest_signal"] = _sql(f"""SELECT s.*, source, n_days, n_records FROM (
   SELECT {_D}, regime, {_r('confidence')} FROM signals ORDER BY signals.date DESC LIMIT 1) s,
   (SELECT source, count(DISTINCT date) AS n_days, count(*) AS n_records FROM docs GROUP BY source)""",

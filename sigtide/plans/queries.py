@@ -14,7 +14,7 @@ from sigtide.functions import text as words
 from sigtide.operators import backtest, dedup, features, labels, model, sentiment, timeseries
 from sigtide.operators import topics, validation
 from sigtide.plans import bindings as B
-from sigtide.plans import serve
+from sigtide.plans import serve, stages
 from sigtide.session import scratch_path
 from sigtide.sources import normalize, raw, tables
 
@@ -285,8 +285,7 @@ def _talk(spark, sf):
     return B.table(spark, sf, "conversations").withColumn("text", text)
 
 
-@_query
-def normalize_reddit(spark, sf):
+def _listings(spark, sf):
     post = F.struct(
         F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("role").alias("title"),
         F.col("text").alias("selftext"), F.col("turn").alias("score"),
@@ -294,9 +293,13 @@ def normalize_reddit(spark, sf):
         (F.col("conv_id") * 60 + 1704067200.5).alias("created_utc"),
         F.col("role").alias("subreddit"), F.concat(F.lit("/r/"), F.col("role")).alias("url"),
         (F.col("turn") / 8.0).alias("upvote_ratio"))
-    listing = _talk(spark, sf).select(
+    return _talk(spark, sf).select(
         F.struct(F.array(F.struct(post.alias("data"))).alias("children")).alias("data"))
-    return _shown(normalize.normalize_reddit(listing, "top"), score="bigint",
+
+
+@_query
+def normalize_reddit(spark, sf):
+    return _shown(normalize.normalize_reddit(_listings(spark, sf), "top"), score="bigint",
                   num_comments="bigint", upvote_ratio="double", subreddit="string", sort="string")
 
 
@@ -315,8 +318,7 @@ def normalize_reddit_archive(spark, sf):
                   num_comments="bigint", upvote_ratio="double", subreddit="string", sort="string")
 
 
-@_query
-def normalize_gdelt(spark, sf):
+def _articles(spark, sf):
     docs = B.table(spark, sf, "documents")
     article = F.struct(
         F.when(F.col("lang") != "es", F.date_format(
@@ -328,26 +330,33 @@ def normalize_gdelt(spark, sf):
         F.col("source").alias("sourcecountry"), F.col("lang").alias("sourcelang"),
         (F.col("n_chars") / 100.0).alias("tone"),
         F.lit(None).cast("double").alias("goldsteinscale"))
-    landed = docs.select(F.array(article).alias("articles"), "source")
-    return _shown(normalize.normalize_gdelt(landed, F.col("source")), query="string",
+    return docs.select(F.array(article).alias("articles"), "source")
+
+
+@_query
+def normalize_gdelt(spark, sf):
+    return _shown(normalize.normalize_gdelt(_articles(spark, sf), F.col("source")), query="string",
                   source_country="string", source_lang="string", tone="double",
                   goldstein_scale="double")
 
 
-@_query
-def normalize_fred(spark, sf):
+def _observations(spark, sf):
     """Observations with both missing marks and one unparsable value."""
     kind = F.col("event_type")
     value = F.when(kind == "view", ".").when(kind == "signup", "").when(
         kind == "error", "abc").otherwise(F.format_string("%.2f", "value"))
     obs = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), value.alias("value"))
-    landed = B.table(spark, sf, "events").select(F.array(obs).alias("observations"), "event_type")
-    return _shown(normalize.normalize_fred(landed, F.upper("event_type")), series_id="string",
-                  value="double", date="string")
+    return B.table(spark, sf, "events").select(
+        F.array(obs).alias("observations"), F.upper("event_type").alias("series"))
 
 
 @_query
-def normalize_edgar(spark, sf):
+def normalize_fred(spark, sf):
+    return _shown(normalize.normalize_fred(_observations(spark, sf), F.col("series")), series_id="string",
+                  value="double", date="string")
+
+
+def _filings(spark, sf):
     key = F.col("o_orderkey")
     filing = F.struct(F.struct(
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("file_date"),
@@ -356,9 +365,13 @@ def normalize_edgar(spark, sf):
         F.when(key % 3 != 0, F.date_format("o_orderdate", "yyyy-MM")).alias("period_of_report"),
         F.when(key % 4 != 0, F.col("o_orderpriority")).alias("entity_name"),
         F.when(key % 5 != 0, key.cast("string")).alias("file_num")).alias("_source"))
-    landed = B.table(spark, sf, "orders").select(
+    return B.table(spark, sf, "orders").select(
         F.struct(F.array(filing).alias("hits")).alias("hits"), "o_orderstatus")
-    return _shown(normalize.normalize_edgar(landed, F.col("o_orderstatus")), form_type="string",
+
+
+@_query
+def normalize_edgar(spark, sf):
+    return _shown(normalize.normalize_edgar(_filings(spark, sf), F.col("o_orderstatus")), form_type="string",
                   entity_name="string", period_of_report="string",
                   display_names="array<string>").withColumn(
         "m_display_names", F.array_join("m_display_names", "|"))
@@ -385,6 +398,26 @@ def normalize_wikipedia(spark, sf):
         user="string")
 
 
+@_query
+def ingest_all(spark, sf):
+    """Payload texts of four sources through the ingest stage, run twice, to the raw table."""
+    root = scratch_path(spark, "ingest")
+
+    def texts(frame, tag, payload):
+        return frame.select(tag.alias("tag"), F.to_json(F.struct(payload)).alias("value"))
+
+    landed = {
+        "reddit": texts(_listings(spark, sf), F.lit("top"), "data"),
+        "gdelt": texts(_articles(spark, sf), F.col("source"), "articles"),
+        "fred": texts(_observations(spark, sf), F.col("series"), "observations"),
+        "edgar": texts(_filings(spark, sf), F.col("o_orderstatus"), "hits")}
+    for _ in range(2):
+        stages.stage_ingest(spark, root, landed, "2024-02-01")
+    stored = raw.read_raw_table(spark, root)
+    return stored.groupBy("feed", F.col("ingest_date").cast("string").alias("ingest_date")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 # ---- macro series and regimes --------------------------------------------------------------------
 
 def _points(spark, sf, gaps=True):
@@ -579,6 +612,12 @@ def backtest_metrics(spark, sf):
     return backtest.metrics(_grid(spark, sf))
 
 
+@_query
+def backtest_reported(spark, sf):
+    """Metrics with the decimals they are reported with."""
+    return backtest.rounded(backtest.metrics(_grid(spark, sf)))
+
+
 @_query
 def backtest_summary(spark, sf):
     shown = backtest.summary_text(backtest.metrics(_grid(spark, sf)))
@@ -633,6 +672,23 @@ def renormalised_signals(spark, sf):
                     off.alias("risk_off"), mid.alias("transition"))
 
 
+def _filed(docs, root, value):
+    """Write one text line per document below ``<root>/raw``, filed by source and day."""
+    docs.select(F.col("source").alias("feed"), F.to_date("timestamp").alias("ingest_date"),
+                value.alias("value")).hint("rebalance", "feed", "ingest_date").write.partitionBy(
+        "feed", "ingest_date").text(f"{root}/raw")
+
+
+@_query
+def raw_by_day(spark, sf):
+    """Scan of two chosen days of the landed lines of every feed."""
+    root = scratch_path(spark, "days")
+    _filed(_raw_documents(spark, sf), root, F.to_json(F.struct(*schemas.RAW_COLUMNS)))
+    chosen = raw.read_raw(spark, root, days=["2024-01-05", "2024-01-20"])
+    return chosen.groupBy("feed", "ingest_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("n_chars"))
+
+
 def _raw_documents(spark, sf):
     docs = B.documents(spark, sf)
     return docs.select(
@@ -660,13 +716,9 @@ def raw_jsonl(spark, sf):
     root = scratch_path(spark, "jsonl")
     docs = _raw_documents(spark, sf)
     broken = F.col("source_type") == "es"
-    lines = docs.select(
-        F.col("source").alias("feed"), F.to_date("timestamp").alias("ingest_date"),
-        F.when(broken, F.concat(F.lit("{broken "), F.col("id"))).otherwise(F.to_json(F.struct(
-            F.when(F.col("source_type") != "de", F.col("id")).alias("id"), *[
-                c for c in schemas.RAW_COLUMNS if c != "id"]))).alias("value"))
-    lines.hint("rebalance", "feed", "ingest_date").write.partitionBy("feed", "ingest_date").text(
-        f"{root}/raw")
+    _filed(docs, root, F.when(broken, F.concat(F.lit("{broken "), F.col("id"))).otherwise(
+        F.to_json(F.struct(F.when(F.col("source_type") != "de", F.col("id")).alias("id"), *[
+            c for c in schemas.RAW_COLUMNS if c != "id"]))))
     good, bad = raw.read_raw(spark, root, quarantine=True)
     ok = good.select("feed", "ingest_date", F.lit(0).alias("bad"), F.length("body").alias("n"))
     out = ok.unionByName(bad.select("feed", "ingest_date", F.lit(1).alias("bad"),
@@ -719,6 +771,19 @@ def stream_markets(spark, sf):
     return spark.read.parquet(path).drop("year")
 
 
+@_query
+def stream_sentiment(spark, sf):
+    """The streaming sentiment table equals the batch table; scores arrive as files."""
+    landed, path = scratch_path(spark, "scores"), scratch_path(spark, "score-days")
+    _scores(spark, sf).select(
+        F.col("date").cast("timestamp").alias("timestamp"), "positive", "negative",
+        "composite").write.parquet(landed)
+    rows = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    streaming.run_to_table(streaming.sentiment_stream(rows), path, scratch_path(
+        spark, "score-state")).awaitTermination()
+    return spark.read.parquet(path).drop("year")
+
+
 @_query
 def stream_dedup(spark, sf):
     """First event per user through the stateful operator: the set of users."""
@@ -780,6 +845,39 @@ def train_predict(spark, sf):
     return report.withColumn("_l", newest).select("fold", "accuracy", "_l.*")
 
 
+def _by_quarter(spark, sf):
+    """A panel whose regime is decided by one feature with wide gaps, and the model of it."""
+    level = (F.quarter("date") % 3) * 10.0
+    panel = B.status_shares(spark, sf).select("date", "n_orders", level.alias("level"))
+    labelled = panel.withColumn("regime", F.when(F.col("level") == 0, "risk_on").when(
+        F.col("level") == 10, "transition").otherwise("risk_off"))
+    return panel, *model.train(labelled)
+
+
+@_query
+def predict_known(spark, sf):
+    """Regime of every day by a model of a known rule."""
+    panel, fitted, _ = _by_quarter(spark, sf)
+    return model.predict_all(fitted, panel).select("date", "regime")
+
+
+@_query
+def train_known(spark, sf):
+    """Class report of the folds of a known rule."""
+    return model.class_report(_by_quarter(spark, sf)[2])
+
+
+@_query
+def latest_known(spark, sf):
+    """Newest day through the model of a known rule, and without any model, per source."""
+    panel, fitted, _ = _by_quarter(spark, sf)
+    docs = B.documents(spark, sf)
+    both = [serve.with_source_counts(
+        model.predict_latest(m, panel).select("date", "regime"), docs, "source", "date")
+        for m in (fitted, None)]
+    return both[0].unionByName(both[1])
+
+
 @_query
 def predict_history(spark, sf):
     """Every day predicted by a model on all days."""

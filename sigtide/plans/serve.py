@@ -84,7 +84,7 @@ def latest_markets(spark: SparkSession, root: str) -> DataFrame:
 
 def run_backtest(spark: SparkSession, root: str, prices: DataFrame,
                  strategies: list[backtest.Strategy], lag: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Metrics and marked bars of each strategy over the stored feature tables.
+    """Rounded metrics and marked bars of each strategy over the stored feature tables.
 
     Prices are an input; nothing is made up when data is missing. Strategies with fewer than 30
     usable bars have no metrics row (``backtest.rejected`` names them).
@@ -99,7 +99,8 @@ def run_backtest(spark: SparkSession, root: str, prices: DataFrame,
         part = features.signal_series(source, sent, geo).withColumn("signal_source", F.lit(source))
         signals = part if signals is None else signals.unionByName(part)
     frame = backtest.grid(signals, prices, backtest.strategy_frame(spark, strategies), lag)
-    return backtest.summary_text(backtest.metrics(frame)), frame
+    return backtest.rounded(backtest.summary_text(backtest.metrics(frame))), frame.withColumns(
+        {"equity": F.round("equity", 4), "drawdown": F.round("drawdown", 4)})
 
 
 def tearsheet(spark: SparkSession, root: str, prices: DataFrame, start: str = "2020-01-01",

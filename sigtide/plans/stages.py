@@ -21,7 +21,7 @@ from sigtide.functions.text import strip_text
 from sigtide.operators import features, labels, model, sentiment, topics, validation
 from sigtide.operators.timeseries import align_signals, forward_returns, tail_n
 from sigtide.sources import backfill as history
-from sigtide.sources import raw, tables
+from sigtide.sources import ingest, raw, tables
 from sigtide.sources.normalize import normalize_markets, parse_payload
 
 
@@ -208,6 +208,23 @@ def stage_markets(spark: SparkSession, root: str, payloads: DataFrame, fetched_a
     _logged(spark, paths, "kalshi", work)
 
 
+def stage_ingest(spark: SparkSession, root: str, landed: dict[str, DataFrame],
+                 ingest_date: str | None = None) -> None:
+    """Normalise landed payloads (see ``sources.ingest``) into the raw table under one arrival day.
+
+    The (feed, day) partitions present are replaced, so a rerun leaves the same table.
+    """
+    paths = Paths(root)
+
+    def work():
+        seen = Observation("ingested")
+        rows = ingest.landed_records(landed).observe(seen, F.count(F.lit(1)).alias("n"))
+        raw.write_raw(rows, root, ingest_date)
+        return None, raw.observed_rows(seen, "n"), ",".join(landed)
+
+    _logged(spark, paths, "ingest", work)
+
+
 def stage_backfill(spark: SparkSession, root: str, posts: DataFrame, periods=None,
                    subreddits=None, order: str = "seq") -> dict:
     """Append archive records of the chosen windows that are not stored yet."""
@@ -215,6 +232,8 @@ def stage_backfill(spark: SparkSession, root: str, posts: DataFrame, periods=Non
 
     def work():
         existing = tables.read_optional(spark, f"{root}/raw_table")
+        if existing is not None:
+            existing = existing.where(F.col("feed") == "reddit")
         summary = history.backfill(posts, existing, root, periods, subreddits, order)
         return summary, summary["written"], None
 
@@ -235,13 +254,13 @@ def stage_train(spark: SparkSession, root: str, params: model.TrainParams | None
         fitted, folds = model.train(labelled, params)
         model.save_model(fitted, paths.model)
         hits = (F.col("label") == F.col("prediction")).cast("double")
-        scores = folds.groupBy("fold").agg(
+        scores = [] if folds is None else folds.groupBy("fold").agg(
             F.avg(hits).alias("accuracy"), F.count(F.lit(1)).alias("n")).orderBy("fold").collect()
         for fold in scores:  # one log row per fold: its test rows, accuracy and the parameters
             note = {"accuracy": fold["accuracy"], **fitted.params}
             tables.log_run(spark, paths.runs, f"train_fold_{fold['fold']}", "ok", fold["n"],
                            notes=json.dumps(note))
-        mean = sum(f["accuracy"] for f in scores) / len(scores)
+        mean = sum(f["accuracy"] for f in scores) / len(scores) if scores else None
         result = {"mean_cv_accuracy": mean, "n_features": len(fitted.features)}
         return result, None, str(result)
 

@@ -54,10 +54,6 @@ MARKET_RECORD = struct(
     ticker=S, title=S, series=S, event_ticker=S, yes_bid=D, yes_ask=D, last_price=D, mid_price=D,
     open_interest=D, volume=D, directional_weight=D, fetched_at=T.TimestampType(),
 )
-SENTIMENT_SCORE = struct(
-    id=S, source=S, source_type=S, date=T.DateType(), positive=D, negative=D, neutral=D,
-    composite=D, text_length=L,
-)
 REGIME_SIGNAL = struct(
     date=T.DateType(), regime=S, confidence=D, risk_on_prob=D, risk_off_prob=D,
     transition_prob=D, created_at=T.TimestampType(),
@@ -65,7 +61,3 @@ REGIME_SIGNAL = struct(
 RUN_LOG = struct(
     run_at=T.TimestampType(), stage=S, status=S, records_processed=L, duration_seconds=D, notes=S,
 )
-LIVE_MESSAGE = struct(
-    type=S, date=T.DateType(), regime=S, confidence=D, probabilities=T.MapType(S, D),
-    timestamp=T.TimestampType(),
-)

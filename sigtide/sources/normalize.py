@@ -36,7 +36,7 @@ def _record(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns[name].alias(name) for name in schemas.RAW_COLUMNS])
 
 
-def normalize_reddit(df: DataFrame, sort: str = "hot", kind: str = "listing",
+def normalize_reddit(df: DataFrame, sort: Column | str = "hot", kind: str = "listing",
                      length_unit: str = "chars") -> DataFrame:
     """Posts of a listing (``kind='listing'``) or of the historical archive (``'archive'``).
 
@@ -54,10 +54,11 @@ def normalize_reddit(df: DataFrame, sort: str = "hot", kind: str = "listing",
         subreddit = F.coalesce(F.col("subreddit"), F.lit("unknown"))
         score, comments = (F.coalesce(F.col(c), F.lit(0)) for c in ("score", "num_comments"))
     elif kind == "listing":
-        posts = df.select(F.explode("data.children").alias("_c")).select("_c.data.*").select(
+        posts = df.select(F.lit(sort).alias("_sort"), F.explode("data.children").alias("_c")).select(
+            "_sort", "_c.data.*").select(
             "*", F.col("title").alias("_title"), F.col("selftext").alias("_text"))
         link = F.concat(F.lit("https://reddit.com"), F.col("url"))
-        title, order = F.col("_title"), F.lit(sort)
+        title, order = F.col("_title"), F.col("_sort")
         created, subreddit = F.col("created_utc"), F.col("subreddit")
         score, comments = F.col("score"), F.col("num_comments")
     else:

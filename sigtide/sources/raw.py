@@ -17,8 +17,10 @@ _JSONL_PATH = r".*/raw/(?:\w+=)?([^/]+)/(?:\w+=)?(\d{4}-\d{2}-\d{2})/[^/]*$"
 
 
 def read_raw(spark: SparkSession, root: str, sources: Sequence[str] | None = None,
-             quarantine: bool = False, schema: T.StructType = schemas.RAW_RECORD):
-    """Scan the JSON lines below ``<root>/raw/<source>/<date>/``, listing only chosen sources.
+             quarantine: bool = False, schema: T.StructType = schemas.RAW_RECORD,
+             days: Sequence[str] | None = None):
+    """Scan the JSON lines below ``<root>/raw/<source>/<date>/``, listing only chosen sources and
+    days (``yyyy-MM-dd``); a choice without any folder raises.
 
     ``feed`` and ``ingest_date`` come from the path, ``event_date`` from the timestamp: both dates
     are kept because live records are filed by arrival day and backfilled ones by event day. A
@@ -26,12 +28,13 @@ def read_raw(spark: SparkSession, root: str, sources: Sequence[str] | None = Non
     ``(good, bad)`` where ``bad`` holds undecodable lines and records without an id.
     """
     feeds = "{feed=,}{" + ",".join(sources) + "}" if sources else "*"
+    folders = "{ingest_date=,}{" + ",".join(days) + "}" if days else "*"
     fields = T.StructType(list(schema.fields) + [T.StructField(_CORRUPT, T.StringType(), True)])
     path = F.col("_metadata.file_path")
     rows = (
         spark.read.schema(fields)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-        .json(f"{root}/raw/{feeds}/*")
+        .json(f"{root}/raw/{feeds}/{folders}")
         .select("*", F.regexp_extract(path, _JSONL_PATH, 1).alias("feed"),
                 F.regexp_extract(path, _JSONL_PATH, 2).try_cast("date").alias("ingest_date"))
     )
@@ -54,9 +57,8 @@ def read_raw_table(spark: SparkSession, root: str,
 
 
 def latest_partition(df: DataFrame, date_col: str = "ingest_date") -> DataFrame:
-    """Rows of the newest day. The maximum is one row, so the semi join prunes at run time."""
-    newest = df.agg(F.max(date_col).alias(date_col))
-    return df.join(F.broadcast(newest), date_col, "left_semi")  # one row by construction
+    """Rows of the newest day. The maximum is a scalar subquery, so it prunes partitions."""
+    return df.where(F.col(date_col) == df.agg(F.max(date_col)).scalar())
 
 
 def feed_name(source):

@@ -13,6 +13,7 @@ from sigtide.functions.parse import clip
 from sigtide.operators.features import market_daily
 from sigtide.operators.model import RegimeModel, predict_latest
 from sigtide.sources.normalize import normalize_wikipedia
+from sigtide.sources.raw import feed_name
 from sigtide.sources.tables import publish_signal, read_optional, upsert_daily
 
 ONCE = {"availableNow": True}
@@ -44,7 +45,7 @@ def dedup_stream(records: DataFrame, key: str = "id", watermark: str | None = "2
 def write_raw_stream(records: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append raw records by feed and event day."""
     out = records.withColumn("ingest_date", F.to_date("timestamp")).withColumn(
-        "feed", F.split_part("source", F.lit("/"), F.lit(1)))
+        "feed", feed_name(F.col("source")))
     return (out.writeStream.format("parquet").option("path", path)
             .option("checkpointLocation", checkpoint).partitionBy("feed", "ingest_date")
             .outputMode("append").trigger(**(trigger or ONCE)).start())

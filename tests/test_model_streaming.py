@@ -261,3 +261,8 @@ def test_failed_stage_is_logged(spark, tmp_path):
     with pytest.raises(Exception):
         stages.stage_sentiment(spark, str(tmp_path))
     assert spark.read.parquet(stages.Paths(str(tmp_path)).runs).first().status == "failed"
+
+
+def test_training_without_folds_has_no_accuracy(spark, world):
+    result = stages.stage_train(spark, world, model.TrainParams(trees=5, folds=0))
+    assert result["mean_cv_accuracy"] is None and result["n_features"] > 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigtide import constants as K
 from sigtide import schemas
+from sigtide.plans import stages
 from sigtide.sources import normalize, raw, tables
 from sigtide.sources.backfill import backfill
 
@@ -142,6 +143,27 @@ def test_jsonl_scan_skips_only_bad_lines(spark, tmp_path):
         "2024-01-05", "2024-01-04", "gdelt")
     assert json.loads(one.metadata) == {"tone": 1.5}
     assert [r.id for r in raw.latest_partition(good).collect()] == ["2"]
+    day = raw.read_raw(spark, str(tmp_path), days=["2024-01-06", "2024-01-07"])
+    assert [r.id for r in day.collect()] == ["2"]
+
+
+def test_ingest_stage_repeats_and_rejects_unknown(spark, tmp_path):
+    root = str(tmp_path)
+    payload = json.dumps({"articles": [
+        {"seendate": "20240105T101500Z", "url": "u", "title": "a"},
+        {"seendate": "20240104T101500Z", "url": "u", "title": "b"}, {"url": "v", "title": ""}]})
+    landed = {"gdelt": spark.createDataFrame([("q", payload), ("q", "{broken"), ("q", None)],
+                                             "tag string, value string"),
+              "wikipedia": spark.createDataFrame([], "value string")}
+    for _ in range(2):
+        stages.stage_ingest(spark, root, landed, "2024-01-06")
+    stored = raw.read_raw_table(spark, root).collect()
+    assert [(r.feed, str(r.ingest_date), r.title) for r in stored] == [
+        ("gdelt", "2024-01-06", "b")]
+    log = spark.read.parquet(f"{root}/runs").collect()
+    assert [(r.stage, r.status, r.records_processed) for r in log] == [("ingest", "ok", 1)] * 2
+    with pytest.raises(ValueError):
+        stages.stage_ingest(spark, root, {"else": landed["gdelt"]})
 
 
 def test_write_raw_replaces_only_its_days(spark, tmp_path, rows):
