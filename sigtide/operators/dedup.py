@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from sigtide.session import materialised
 
@@ -39,24 +41,47 @@ def dedup_consecutive(df: DataFrame, key: str, order: Sequence[str],
                       descending: bool = False) -> DataFrame:
     """Drop a row when its key equals the key of the row before it in ``order``.
 
-    ``order`` must be a total order. The rows are range-partitioned on it, which splits even one
-    dominant key or timestamp evenly because the tiebreak column takes part. Each block is then
-    compared within itself, and its first row with the last key of the block before it: that
-    boundary table has one row per block. The blocks are fixed by a table in the shared folder, so
-    both passes see the same boundaries when a task is rerun, and the boundary pass reads only the
-    key and the order.
+    ``order`` must be a total order. The rows are range-partitioned on it, the only shuffle, which
+    splits even one dominant key or timestamp because the tiebreak column takes part. Each block is
+    sorted and compared as it streams by, a batch at a time, so a block is never held whole. Rows
+    that differ, and the two ends of each block, are stored in the shared folder, which fixes the
+    blocks when a task is rerun; first rows are then compared with the end of the block before, a
+    table of one row per block.
     """
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    blocks = materialised(
-        df.repartitionByRange(*sort).withColumn("_block", F.spark_partition_id()), "blocks")
-    position = F.struct(*order)
-    final = (F.min_by if descending else F.max_by)(F.struct(key), position)
-    ends = blocks.groupBy("_block").agg(final.alias("_end"))
-    # One row per block: the window and the broadcast are bounded by the number of partitions.
-    ends = ends.select("_block", F.lag("_end").over(Window.orderBy("_block")).alias("_carry"))
-    inner = F.lag(F.struct(key)).over(Window.partitionBy("_block").orderBy(*sort))
+    names = [*df.columns, "_prev", "_head", "_tail"]
+    kind = df.schema[key].dataType
+    schema = StructType([*df.schema.fields, StructField("_prev", kind),
+                         StructField("_head", BooleanType()), StructField("_tail", BooleanType())])
+
+    def previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with the key before it in the block, and marks on the block's two ends."""
+        def marked(batch: pa.RecordBatch, before: pa.Array | None, tail: bool) -> pa.RecordBatch:
+            own, n = batch.column(key), batch.num_rows
+            first = pa.nulls(1, own.type) if before is None else before
+            return pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.concat_arrays([first, own.slice(0, n - 1)]),
+                 pa.array([before is None, *[False] * (n - 1)]),
+                 pa.array([*[False] * (n - 1), tail])], names)
+
+        held, before = None, None
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    yield marked(held, before, False)
+                    before = held.column(key).slice(held.num_rows - 1, 1)
+                held = batch
+        if held is not None:
+            yield marked(held, before, True)
+
+    differs = ~F.col("_prev").eqNullSafe(F.col(key))
+    rows = materialised(
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(previous, schema)
+        .withColumn("_block", F.spark_partition_id())
+        .where(F.col("_head") | F.col("_tail") | differs), "blocks")
+    ends = rows.where("_tail").select("_block", F.lag(F.struct(key)).over(
+        Window.orderBy("_block")).alias("_carry"))
     return (
-        blocks.withColumn("_prev", inner)
-        .join(F.broadcast(ends), "_block")
-        .where(~F.coalesce(F.col("_prev"), F.col("_carry")).eqNullSafe(F.struct(key)))
+        rows.join(F.broadcast(ends), "_block")
+        .where(F.when(F.col("_head"), ~F.col("_carry").eqNullSafe(F.struct(key))).otherwise(differs))
         .select(*df.columns))

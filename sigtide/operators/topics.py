@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
-from sigtide.functions.stats import let
 from sigtide.functions.text import TOKEN_BREAK, macro_label
+from sigtide.session import materialised
 
 TOP_WORDS = 10
 
@@ -35,7 +37,8 @@ def fit_topics(df: DataFrame, method: str = "kmeans", column: str = "embedding",
     """Cluster documents: k-means on supplied embeddings, or LDA on word counts.
 
     Every LDA pass reads all documents (no mini-batches). Words are hashed to ``width`` columns, so
-    none is dropped and the model's size does not depend on the data.
+    none is dropped and the model's size does not depend on the data. Texts are split into words
+    once: the counts are stored in the shared folder, and passes and cluster sizes read those.
 
     Clusters smaller than ``min_topic_size`` are not topics; their documents become noise (-1).
     Only the cluster sizes (k rows) reach the driver.
@@ -44,50 +47,60 @@ def fit_topics(df: DataFrame, method: str = "kmeans", column: str = "embedding",
         data = df.withColumn("_features", array_to_vector(F.col(column).cast("array<double>")))
         model = KMeans(featuresCol="_features", predictionCol="_topic", k=k, seed=seed,
                        maxIter=max_iter).fit(data)
+        found = model.transform(data).select(F.col("_topic").alias("topic_id"))
     elif method == "lda":
-        model = Pipeline(stages=[
+        words = PipelineModel([
             RegexTokenizer(inputCol=column, outputCol="_words", pattern=TOKEN_BREAK),
-            HashingTF(inputCol="_words", outputCol="_features", numFeatures=width),
-            LDA(featuresCol="_features", topicDistributionCol="_mix", k=k, seed=seed,
-                maxIter=max_iter, optimizer="online", subsamplingRate=1.0),
-        ]).fit(df)
+            HashingTF(inputCol="_words", outputCol="_features", numFeatures=width)])
+        counted = materialised(words.transform(df).select("_features"), "word-counts")
+        lda = LDA(featuresCol="_features", topicDistributionCol="_mix", k=k, seed=seed,
+                  maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(counted)
+        model = PipelineModel([*words.stages, lda])
+        found = _largest(lda.transform(counted).withColumn("_mix", vector_to_array("_mix")))
     else:
         raise ValueError(f"unknown method {method!r}")
-    fitted = TopicModel(method, column, model, list(range(k)))
-    sizes = assign_topics(fitted, df).groupBy("topic_id").count()
-    fitted.topics = sorted(
-        r["topic_id"] for r in sizes.where(F.col("count") >= min_topic_size).collect())
-    return fitted
+    sizes = found.groupBy("topic_id").count().where(F.col("count") >= min_topic_size)
+    return TopicModel(method, column, model, sorted(r["topic_id"] for r in sizes.collect()))
+
+
+def _largest(scored: DataFrame) -> DataFrame:
+    """``topic_id`` and ``topic_prob``: place and value of the largest share in ``_mix``."""
+    best = F.array_max("_mix")
+    return scored.withColumns({
+        "topic_id": (F.array_position("_mix", best) - 1).cast("int"), "topic_prob": best})
+
+
+def _softmax_shares(centres: np.ndarray):
+    """Vectorised softmax over negative squared distances to the centres; NULL for NULL points."""
+    def shares(points: pd.Series) -> pd.Series:
+        out = np.full(len(points), None, object)
+        full = np.flatnonzero(points.notna().to_numpy())
+        if len(full):
+            x = np.stack(points.to_numpy()[full]).astype(float)
+            near = -((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+            near = np.exp(near - near.max(axis=1, keepdims=True))
+            out[full] = list(near / near.sum(axis=1, keepdims=True))
+        return pd.Series(out)
+
+    return F.pandas_udf(shares, "array<double>")
 
 
 def assign_topics(fitted: TopicModel, df: DataFrame) -> DataFrame:
     """``topic_id`` and ``topic_prob`` per row; ids outside the kept topics become -1.
 
-    The k-means probability is a softmax over negative squared distances to the centres; LDA
-    reports its largest topic share. Centres are k short vectors, so they travel as literals.
+    The k-means probability is a softmax over negative squared distances to the centres, taken on
+    whole Arrow batches; LDA reports its largest topic share.
     """
     if fitted.method == "kmeans":
-        point = F.col(fitted.column).cast("array<double>")
-        centres = F.array(*[
-            F.array(*[F.lit(float(x)) for x in c]) for c in fitted.model.clusterCenters()])
-        nearness = F.transform(centres, lambda c: -F.aggregate(
-            F.zip_with(point, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-            lambda acc, d: acc + d))
-        mix = let(nearness, lambda s: let(F.array_max(s), lambda m: F.transform(
-            s, lambda v: F.exp(v - m))))
-        scored = df.withColumn("_mix", mix)
-        total = F.aggregate("_mix", F.lit(0.0), lambda acc, v: acc + v)
+        shares = _softmax_shares(np.array(fitted.model.clusterCenters()))
+        scored = df.withColumn("_mix", shares(F.col(fitted.column).cast("array<double>")))
         drop = ["_mix"]
     else:
         scored = fitted.model.transform(df).withColumn("_mix", vector_to_array("_mix"))
-        total = F.lit(1.0)
         drop = ["_mix", "_words", "_features"]
-    best = F.array_max("_mix")
-    topic = (F.array_position("_mix", best) - 1).cast("int")
-    kept = topic.isin(*fitted.topics) if fitted.topics else F.lit(False)
-    return scored.withColumns({
-        "topic_id": F.when(kept, topic).otherwise(F.lit(K.NOISE_TOPIC_ID)),
-        "topic_prob": best / total}).drop(*drop)
+    kept = F.col("topic_id").isin(*fitted.topics) if fitted.topics else F.lit(False)
+    return _largest(scored).withColumn("topic_id", F.when(kept, F.col("topic_id")).otherwise(
+        F.lit(K.NOISE_TOPIC_ID))).drop(*drop)
 
 
 def class_tfidf(df: DataFrame, topic: str = "topic_id", text: str = "body",

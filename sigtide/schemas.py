@@ -20,7 +20,6 @@ RAW_COLUMNS = RAW_RECORD.fieldNames()
 
 REDDIT_META = struct(score=L, num_comments=L, upvote_ratio=D, subreddit=S, sort=S)
 GDELT_META = struct(query=S, source_country=S, source_lang=S, tone=D, goldstein_scale=D)
-FRED_META = struct(series_id=S, value=D, date=S)
 EDGAR_META = struct(form_type=S, entity_name=S, period_of_report=S, display_names=T.ArrayType(S))
 WIKIPEDIA_META = struct(server=S, edit_delta=L, user=S)
 

@@ -48,6 +48,25 @@ def test_consecutive_duplicates(spark, descending):
     df = spark.createDataFrame(data, "id int, t int, key string").repartition(5)
     got = dedup.dedup_consecutive(df, "key", ["t", "id"], descending)
     assert sorted(r.id for r in got.collect()) == sorted(expected)
+    few = dedup.dedup_consecutive(df.where("id < 3"), "key", ["t", "id"], descending).collect()
+    first = [r for r in order if r[0] < 3]
+    assert sorted(r.id for r in few) == sorted(
+        r[0] for i, r in enumerate(first) if i == 0 or r[2] != first[i - 1][2])
+    assert dedup.dedup_consecutive(df.limit(0), "key", ["t", "id"], descending).count() == 0
+
+
+def test_consecutive_blocks_of_many_batches(spark):
+    """NaN equals NaN, and keys are compared across Arrow batches and across blocks."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "7")
+    try:
+        df = spark.range(600).select("id", F.when(F.col("id") < 250, float("nan")).when(
+            F.col("id") < 500, 1.5).otherwise((F.col("id") / 10).cast("int").cast("double")).alias("key"))
+        got = sorted(r.id for r in dedup.dedup_consecutive(df.repartition(3), "key", ["id"]).collect())
+        assert got == [0, 250, *range(500, 600, 10)]
+    finally:
+        spark.conf.set(conf, before)
 
 
 # ---- time series ---------------------------------------------------------------------------------
@@ -215,6 +234,25 @@ def test_topics_noise_and_probability(spark):
     assert all(r.topic_id in (-1, by_id[r.id]) for r in got)
 
 
+def test_text_topics_keep_every_document(spark):
+    data = [(i, "oil gas barrel " * 5 if i % 2 else "vote senate ballot " * 5) for i in range(40)]
+    df = spark.createDataFrame([*data, (40, "?!")], "id int, body string")
+    fitted = topics.fit_topics(df, "lda", "body", k=2, min_topic_size=5)
+    got = {r["id"]: r for r in topics.assign_topics(fitted, df).collect()}
+    assert len(got) == 41 and set(fitted.topics) <= {0, 1}
+    assert all(0 < r["topic_prob"] <= 1 for i, r in got.items() if i < 40)
+    for part in (0, 1):  # equal texts share a topic
+        assert len({(got[i]["topic_id"], round(got[i]["topic_prob"], 6)) for i in range(part, 40, 2)}) == 1
+
+
+def test_topic_of_missing_embedding_is_noise(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(20)], "id int, embedding array<double>")
+    fitted = topics.fit_topics(df, k=2, min_topic_size=5)
+    odd = topics.assign_topics(fitted, df.limit(1).withColumn("embedding", F.lit(None).cast(
+        "array<double>"))).first()
+    assert odd.topic_id == -1 and odd.topic_prob is None
+
+
 def test_topic_labels_and_unknown_topic(spark, rows):
     words = spark.createDataFrame([(0, 1, "oil"), (0, 2, "gas"), (1, 1, "zebra"), (-1, 1, "oil")],
                                   "topic_id int, rank int, word string")
