@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
@@ -31,36 +31,45 @@ class TopicModel:
     topics: list[int]
 
 
-def fit_topics(df: DataFrame, method: str = "kmeans", column: str = "embedding", k: int = 10,
-               min_topic_size: int = 10, seed: int = 42, max_iter: int = 10,
-               width: int = 1 << 16) -> TopicModel:
-    """Cluster documents: k-means on supplied embeddings, or LDA on word counts.
+def fit_assigned(df: DataFrame, method: str = "kmeans", column: str = "embedding", k: int = 10,
+                 min_topic_size: int = 10, seed: int = 42, max_iter: int = 10,
+                 width: int = 1 << 16) -> tuple[TopicModel, DataFrame]:
+    """Cluster documents and assign them: k-means on supplied embeddings, or LDA on word counts.
 
     Every LDA pass reads all documents (no mini-batches). Words are hashed to ``width`` columns, so
     none is dropped and the model's size does not depend on the data. Texts are split into words
-    once: the counts are stored in the shared folder, and passes and cluster sizes read those.
+    once and documents are assigned once: word counts and assignments are tables in the shared
+    folder, spread evenly over tasks, which the passes, the cluster sizes and the caller read.
 
     Clusters smaller than ``min_topic_size`` are not topics; their documents become noise (-1).
-    Only the cluster sizes (k rows) reach the driver.
+    Only the cluster sizes (k rows) reach the driver. The frame is what ``assign_topics`` gives.
     """
     if method == "kmeans":
         data = df.withColumn("_features", array_to_vector(F.col(column).cast("array<double>")))
         model = KMeans(featuresCol="_features", predictionCol="_topic", k=k, seed=seed,
                        maxIter=max_iter).fit(data)
-        found = model.transform(data).select(F.col("_topic").alias("topic_id"))
+        mixed = df.withColumn("_mix", _shares(model, column))
     elif method == "lda":
         words = PipelineModel([
             RegexTokenizer(inputCol=column, outputCol="_words", pattern=TOKEN_BREAK),
             HashingTF(inputCol="_words", outputCol="_features", numFeatures=width)])
-        counted = materialised(words.transform(df).select("_features"), "word-counts")
+        counted = materialised(words.transform(df).drop("_words").hint("rebalance"), "word-counts")
         lda = LDA(featuresCol="_features", topicDistributionCol="_mix", k=k, seed=seed,
                   maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(counted)
         model = PipelineModel([*words.stages, lda])
-        found = _largest(lda.transform(counted).withColumn("_mix", vector_to_array("_mix")))
+        mixed = lda.transform(counted).withColumn("_mix", vector_to_array("_mix"))
     else:
         raise ValueError(f"unknown method {method!r}")
+    found = materialised(_largest(mixed).select(*df.columns, "topic_id", "topic_prob"), "topics")
     sizes = found.groupBy("topic_id").count().where(F.col("count") >= min_topic_size)
-    return TopicModel(method, column, model, sorted(r["topic_id"] for r in sizes.collect()))
+    fitted = TopicModel(method, column, model, sorted(
+        r["topic_id"] for r in sizes.where("topic_id is not null").collect()))
+    return fitted, _without_small(fitted, found)
+
+
+def fit_topics(df: DataFrame, *args, **options) -> TopicModel:
+    """The model of ``fit_assigned`` alone, to assign other documents."""
+    return fit_assigned(df, *args, **options)[0]
 
 
 def _largest(scored: DataFrame) -> DataFrame:
@@ -70,8 +79,18 @@ def _largest(scored: DataFrame) -> DataFrame:
         "topic_id": (F.array_position("_mix", best) - 1).cast("int"), "topic_prob": best})
 
 
-def _softmax_shares(centres: np.ndarray):
-    """Vectorised softmax over negative squared distances to the centres; NULL for NULL points."""
+def _without_small(fitted: TopicModel, assigned: DataFrame) -> DataFrame:
+    """Ids outside the kept topics become noise."""
+    kept = F.col("topic_id").isin(*fitted.topics) if fitted.topics else F.lit(False)
+    return assigned.withColumn("topic_id", F.when(kept, F.col("topic_id")).otherwise(
+        F.lit(K.NOISE_TOPIC_ID)))
+
+
+def _shares(model: KMeansModel, column: str) -> Column:
+    """Softmax over negative squared distances to the centres, on whole Arrow batches; NULL for
+    NULL points."""
+    centres = np.array(model.clusterCenters())
+
     def shares(points: pd.Series) -> pd.Series:
         out = np.full(len(points), None, object)
         full = np.flatnonzero(points.notna().to_numpy())
@@ -82,25 +101,20 @@ def _softmax_shares(centres: np.ndarray):
             out[full] = list(near / near.sum(axis=1, keepdims=True))
         return pd.Series(out)
 
-    return F.pandas_udf(shares, "array<double>")
+    return F.pandas_udf(shares, "array<double>")(F.col(column).cast("array<double>"))
 
 
 def assign_topics(fitted: TopicModel, df: DataFrame) -> DataFrame:
     """``topic_id`` and ``topic_prob`` per row; ids outside the kept topics become -1.
 
-    The k-means probability is a softmax over negative squared distances to the centres, taken on
-    whole Arrow batches; LDA reports its largest topic share.
+    The k-means probability is a softmax over negative squared distances to the centres; LDA
+    reports its largest topic share.
     """
     if fitted.method == "kmeans":
-        shares = _softmax_shares(np.array(fitted.model.clusterCenters()))
-        scored = df.withColumn("_mix", shares(F.col(fitted.column).cast("array<double>")))
-        drop = ["_mix"]
+        mixed = df.withColumn("_mix", _shares(fitted.model, fitted.column))
     else:
-        scored = fitted.model.transform(df).withColumn("_mix", vector_to_array("_mix"))
-        drop = ["_mix", "_words", "_features"]
-    kept = F.col("topic_id").isin(*fitted.topics) if fitted.topics else F.lit(False)
-    return _largest(scored).withColumn("topic_id", F.when(kept, F.col("topic_id")).otherwise(
-        F.lit(K.NOISE_TOPIC_ID))).drop(*drop)
+        mixed = fitted.model.transform(df).withColumn("_mix", vector_to_array("_mix"))
+    return _without_small(fitted, _largest(mixed).select(*df.columns, "topic_id", "topic_prob"))
 
 
 def class_tfidf(df: DataFrame, topic: str = "topic_id", text: str = "body",

@@ -905,8 +905,8 @@ def latest_signal(spark, sf):
 def topic_fit(spark, sf):
     """Clusters of the embeddings with their sizes."""
     vectors = B.table(spark, sf, "embeddings")
-    fitted = topics.fit_topics(vectors, "kmeans", "embedding", 10)
-    return topics.assign_topics(fitted, vectors).groupBy("topic_id").agg(
+    _, assigned = topics.fit_assigned(vectors, "kmeans", "embedding", 10)
+    return assigned.groupBy("topic_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("topic_prob").alias("mean_prob"))
 
 
@@ -914,6 +914,6 @@ def topic_fit(spark, sf):
 def topic_fit_text(spark, sf):
     """Topics of the document texts by latent Dirichlet allocation."""
     docs = sentiment.scorable(B.documents(spark, sf))
-    fitted = topics.fit_topics(docs, "lda", "body", 8)
-    return topics.assign_topics(fitted, docs).groupBy("date", "topic_id").agg(
+    _, assigned = topics.fit_assigned(docs, "lda", "body", 8)
+    return assigned.groupBy("date", "topic_id").agg(
         F.count(F.lit(1)).alias("n"))

@@ -23,7 +23,6 @@ from sigtide.operators.timeseries import align_signals, forward_returns, tail_n
 from sigtide.sources import backfill as history
 from sigtide.sources import ingest, raw, tables
 from sigtide.sources.normalize import normalize_markets, parse_payload
-from sigtide.session import materialised
 
 
 @dataclass(frozen=True)
@@ -159,9 +158,7 @@ def stage_topics(spark: SparkSession, root: str, sources: Sequence[str] | None =
         docs = records(spark, root, sources, date_col).where(
             F.length(body) > K.MIN_SCORABLE_CHARS).select(
             "id", "source", "source_type", "date", "body")
-        fitted = topics.fit_topics(docs, "lda", "body", k, min_topic_size)
-        # stored once: the words of each topic and the output both read it
-        assigned = materialised(topics.assign_topics(fitted, docs), "topics")
+        _, assigned = topics.fit_assigned(docs, "lda", "body", k, min_topic_size)
         names = topics.topic_labels(topics.class_tfidf(assigned))
         seen = Observation("assigned")
         out = topics.label_documents(assigned, names).select(

@@ -237,8 +237,10 @@ def test_topics_noise_and_probability(spark):
 def test_text_topics_keep_every_document(spark):
     data = [(i, "oil gas barrel " * 5 if i % 2 else "vote senate ballot " * 5) for i in range(40)]
     df = spark.createDataFrame([*data, (40, "?!")], "id int, body string")
-    fitted = topics.fit_topics(df, "lda", "body", k=2, min_topic_size=5)
+    fitted, assigned = topics.fit_assigned(df, "lda", "body", k=2, min_topic_size=5)
     got = {r["id"]: r for r in topics.assign_topics(fitted, df).collect()}
+    assert {(r["id"], r["topic_id"], r["body"]) for r in assigned.collect()} == {
+        (i, r["topic_id"], r["body"]) for i, r in got.items()}
     assert len(got) == 41 and set(fitted.topics) <= {0, 1}
     assert all(0 < r["topic_prob"] <= 1 for i, r in got.items() if i < 40)
     for part in (0, 1):  # equal texts share a topic
