@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sigtide.llm import decontam, ngram, packing, quality, secretscan
 from sigtide.llm.queries import vocabulary
-from sigtide.session import scratch_path
+from sigtide.session import materialised, scratch_path
 
 # A trained score per document cannot be written as SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
@@ -25,12 +25,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per group of texts linked at a shingle similarity of 0.8 or more.
+    """One row per group of texts linked at a shingle similarity of 0.8 or more.
 
-    The smallest id of a group stays. Of rows that repeat one id, one row stays per text.
+    The row of the smallest id stays, of several texts under that id the smallest text, of equal
+    texts one row. Rows without an id take part and come after all ids. Texts without words link
+    with nothing: of those, one row stays per id and text.
     """
-    gone = ngram.links(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows are told apart by id and text; equal keys are copies of one row
+    keyed = docs.withColumn("_key", F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", F.unhex(F.md5("text")).alias("text")))
+    rows = materialised(ngram.links(keyed, "_key").groupBy("_key").agg(
+        F.min("component_id").alias("_group"), F.count("*").alias("_rows")), "row-keys")
+    # the least key has the smallest id; where that id has more texts, the texts decide
+    least = rows.where("_key.no_id = _group.no_id and _key.doc_id <=> _group.doc_id")
+    several = least.groupBy("_group").count().where("count > 1").select("_group")
+    texts = keyed.select("_key", "text").join(
+        least.join(several, "_group", "left_semi").select("_key", "_group"), "_key")
+    first = texts.groupBy("_group").agg(F.min(F.struct("text", "_key")).alias("_first")).select(
+        "_group", F.col("_first._key").alias("_first"))
+    other = materialised(rows.join(first, "_group", "left").select(
+        "_key", (F.col("_key") == F.coalesce("_first", "_group")).alias("_kept"), "_rows").where(
+        "not _kept or _rows > 1").select("_key", "_kept"), "row-verdicts")
+    marked = keyed.join(other, "_key", "left")
+    copies = marked.where("_kept").groupBy("_key").agg(
+        F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return marked.where("_kept is null").select(*docs.columns).unionByName(copies)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

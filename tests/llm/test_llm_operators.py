@@ -462,6 +462,27 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
 
 
+def test_near_duplicates_by_row(spark):
+    a, b, c, d, e, f, g, h = near_copies(4, 8, 1)
+    near = lambda t: t + " more"
+    cases = [
+        # rows loaded twice, with copies without an id and without words
+        ([(1, a), (2, b), (2, ""), (3, None), (None, c), (None, "?!")] * 2,
+         [(1, a), (2, b), (2, ""), (3, None), (None, c), (None, "?!")]),
+        # one id with texts of two groups: both groups keep a row
+        ([(11, d), (15, near(d)), (15, e), (19, near(e))], [(11, d), (15, e)]),
+        # the smallest id has two texts of one group, and rows without an id come last
+        ([(25, near(f)), (25, f), (25, f), (29, f), (None, f)], [(25, f)]),
+        ([(None, near(g)), (None, g), (None, g), (34, near(h)), (None, h)], [(None, g), (34, near(h))]),
+        # wordless texts of other ids stay
+        ([(41, ""), (42, ""), (42, "!"), (None, None), (None, None)],
+         [(41, ""), (42, ""), (42, "!"), (None, None)])]
+    df = spark.createDataFrame([(i, t, "n") for rows, _ in cases for i, t in rows], DOCS)
+    got = corpus_pipeline.near_duplicate_stage(spark, df, SMALL)
+    assert got.dtypes == df.dtypes
+    assert Counter(map(tuple, got.collect())) == Counter((i, t, "n") for _, want in cases for i, t in want)
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "plain words here", "en", "s", 16),
