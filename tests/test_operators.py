@@ -247,6 +247,13 @@ def test_text_topics_keep_every_document(spark):
         assert len({(got[i]["topic_id"], round(got[i]["topic_prob"], 6)) for i in range(part, 40, 2)}) == 1
 
 
+def test_topic_fits_make_twenty_passes(spark):
+    df = spark.createDataFrame([(float(i), 1.0, f"word{i % 3} other") for i in range(12)],
+                               "x double, y double, body string").withColumn("embedding", F.array("x", "y"))
+    assert topics.fit_topics(df, k=2).model.getMaxIter() == 20
+    assert topics.fit_topics(df, "lda", "body", k=2).model.stages[-1].getMaxIter() == 20
+
+
 def test_topic_of_missing_embedding_is_noise(spark):
     df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(20)], "id int, embedding array<double>")
     fitted = topics.fit_topics(df, k=2, min_topic_size=5)
