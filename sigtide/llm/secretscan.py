@@ -6,7 +6,8 @@ configuration syntax into name-literal pairs (``name = "x"``, ``name: x``, ``"na
 their constants, and scores every literal by the most sensitive name it reaches. Literals that
 score ``THRESHOLD`` or more become spans of kind ``literal``.
 
-The lexer runs on texts that hold a sensitive name at all; others can have no sensitive target.
+The lexer runs on texts that hold the letters of a sensitive name, with any separators a name may
+have between them; others can have no sensitive target.
 """
 
 from __future__ import annotations
@@ -42,7 +43,10 @@ SENSITIVE = {
 }
 THRESHOLD = 0.55
 HOPS = 16
-_STEM = re.compile(r"pass|pwd|secret|token|key|cred|auth|bearer|connection_?string", re.I | re.A)
+# names that hold no other one, and what takes breaks out of names and lowers A-Z
+_STEMS = [k.encode() for k in SENSITIVE if not any(o != k and o in k for o in SENSITIVE)]
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BREAKS = b"0123456789_.$-"
 _NAME = r"[A-Za-z_$][A-Za-z0-9_.$-]*"
 _PAIR = re.compile(
     rf"(?<![A-Za-z0-9_.$-])[\"']?({_NAME})[\"']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"
@@ -85,7 +89,7 @@ def pairs(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive target, directly or through names."""
-    if not _may_assign(text) or not _STEM.search(text):
+    if not _may_assign(text) or not _may_score(text):
         return []
     found, constant, flow = set(), {}, {}
     for target, literal, name, start, end in pairs(text):
@@ -116,6 +120,12 @@ def _may_assign(text: str) -> bool:
     return "=" in text or ":" in text
 
 
+def _may_score(text: str) -> bool:
+    """Every name with a score is a sensitive one once breaks are taken out."""
+    packed = text.encode("utf-8", "surrogatepass").translate(_LOWER, _BREAKS)
+    return any(stem in packed for stem in _STEMS)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base kinds, by start and then kind in the order listed."""
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text)

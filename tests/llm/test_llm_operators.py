@@ -330,6 +330,19 @@ def test_secrets(spark):
         secretscan.scan(df.withColumn("spans", F.lit(1)))
 
 
+def test_secret_filter_loses_nothing(monkeypatch):
+    value = ' = "Zk39fjQ0sldkf93"'
+    names = ["connection-string", "connection.string", "connection__string", "connectionString", "p_wd",
+             "TO-KEN", "to9ken", "Bear.er", "api-Key", "client_secret", "monkey", "author", "title"]
+    for name in secretscan.SENSITIVE:
+        names += [name[:k] + sep + name[k:] for k in range(1, len(name)) for sep in ("-", "_", "..", "7")]
+    texts = [f"é {name}{value}" for name in names]
+    got = [secretscan.literal_spans(t) for t in texts]
+    monkeypatch.setattr(secretscan, "_may_score", lambda text: True)
+    assert got == [secretscan.literal_spans(t) for t in texts]
+    assert all(got[:10]) and not any(got[10:13])
+
+
 # ---- op7 -----------------------------------------------------------------------------------------
 
 def test_urls(spark):
