@@ -42,7 +42,6 @@ SENSITIVE = {
     "connectionstring": 0.8, "clientsecret": 1.0,
 }
 THRESHOLD = 0.55
-HOPS = 16
 # names that hold no other one, and what takes breaks out of names and lowers A-Z
 _STEMS = [k.encode() for k in SENSITIVE if not any(o != k and o in k for o in SENSITIVE)]
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,23 +90,22 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
     """Spans of literals that reach a sensitive target, directly or through names."""
     if not _may_assign(text) or not _may_score(text):
         return []
-    found, constant, flow = set(), {}, {}
+    found, constant, flow, reach = set(), {}, {}, {}
     for target, literal, name, start, end in pairs(text):
         if literal is not None:
             constant[target] = (start, end, literal)
+            _changed(target, constant, reach)
             if name_score(target) * literal_score(literal) >= threshold:
                 found.add((start, end))
             continue
         # the constant the right side holds at this point, through chains of names
-        held = constant.get(name)
-        hops, seen = name, 0
-        while held is None and seen < HOPS and hops in flow:
-            hops, seen = flow[hops], seen + 1
-            held = constant.get(hops)
+        held = constant.get(_holder(name, constant, flow, reach))
         flow[target] = name
         constant.pop(target, None)
         if held:
             constant[target] = held
+        _changed(target, constant, reach)
+        if held:
             if name_score(target) * literal_score(held[2]) >= threshold:
                 found.add(held[:2])
         elif name_score(target) * literal_score(name) >= threshold and re.search("[0-9]", name):
@@ -115,6 +113,25 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
     return sorted(found)
 
 
+def _holder(name: str, constant: dict, flow: dict, reach: dict) -> str | None:
+    """The first name along ``flow`` that holds a constant; ``reach`` keeps it for all names passed."""
+    passed = {}
+    while name not in constant and name not in reach and name in flow and name not in passed:
+        passed[name] = None
+        name = flow[name]
+    end = name if name in constant else reach.get(name)
+    passed[name] = None
+    reach.update(dict.fromkeys(passed, end))
+    return end
+
+
+def _changed(target: str, constant: dict, reach: dict) -> None:
+    """Forget what names reach when that of ``target`` is another now."""
+    now = target if target in constant else None
+    if reach.get(target, now) != now:
+        reach.clear()
+
+
 def _may_assign(text: str) -> bool:
     """Every assignment holds one of these signs."""
     return "=" in text or ":" in text

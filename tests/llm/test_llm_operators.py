@@ -343,6 +343,44 @@ def test_secret_filter_loses_nothing(monkeypatch):
     assert all(got[:10]) and not any(got[10:13])
 
 
+def plain_literal_spans(text):
+    """Every name followed anew at each assignment."""
+    found, constant, flow = set(), {}, {}
+    for target, literal, name, start, end in secretscan.pairs(text):
+        if literal is not None:
+            constant[target] = (start, end, literal)
+        else:
+            at, seen = name, set()
+            while at not in constant and at in flow and at not in seen:
+                seen.add(at)
+                at = flow[at]
+            held = constant.get(at)
+            flow[target] = name
+            constant.pop(target, None)
+            if held:
+                constant[target] = held
+        a, b, value = constant.get(target, (start, end, name))
+        if secretscan.name_score(target) * secretscan.literal_score(value) >= secretscan.THRESHOLD and (
+                target in constant or re.search("[0-9]", value)):
+            found.add((a, b))
+    return sorted(found)
+
+
+def test_constants_through_long_chains():
+    lines = [f"a{k} = a{k - 1}" for k in range(1, 21)]
+    text = "\n".join([*lines, 'a0 = "Zk39fjQ0sldkf93"', "client_secret = a20"])
+    at = text.index("Zk39")
+    assert secretscan.literal_spans(text) == [(at, at + 15)]
+    assert secretscan.literal_spans("a1 = a2\na2 = a1\nsecret = a1") == []
+    rng = random.Random(6)
+    names = [f"n{k}" for k in range(8)] + ["secret", "db_token"]
+    for _ in range(400):
+        text = "\n".join(f"{rng.choice(names)} = " + (
+            f'"Zk39fjQ0sl{rng.randint(0, 99)}"' if rng.random() < 0.2 else rng.choice(names))
+            for _ in range(rng.randint(1, 40)))
+        assert secretscan.literal_spans(text) == plain_literal_spans(text), text
+
+
 # ---- op7 -----------------------------------------------------------------------------------------
 
 def test_urls(spark):
