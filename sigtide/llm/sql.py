@@ -192,6 +192,66 @@ FROM ruled r LEFT JOIN listed l ON l.canonical = r.canonical
 """
 
 
+FILTER_AUDIT = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+),
+worded AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM base
+),
+least AS (SELECT t, min(doc_id) AS least FROM base GROUP BY t),
+marks AS (
+  SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+flag AS (
+  SELECT x.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic, map {
+    'A': len(w) < 200,
+    'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * length(regexp_replace(x.t, '[^A-Z]', '', 'g')) > 3 * length(x.t),
+    'D': regexp_matches(x.t, '[#$%&*|]'),
+    'E': coalesce(x.doc_id > l.least, false)} AS fails
+  FROM worded x JOIN least l ON l.t = x.t LEFT JOIN marks m ON m.doc_id = x.doc_id
+),
+letter(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letter a JOIN letter b ON b.f <> a.f JOIN letter c ON c.f NOT IN (a.f, b.f)
+  JOIN letter d ON d.f NOT IN (a.f, b.f, c.f) JOIN letter e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, list_filter(['A', 'B', 'C', 'D', 'E'],
+    lambda x: contains(filter_order[1:step - 1], x)) AS before
+  FROM orders, unnest(range(1, 6)) AS s(step)
+),
+kinds AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flag GROUP BY part, fails
+),
+choice AS (SELECT DISTINCT f, before FROM steps),
+sums AS (
+  SELECT k.part, c.f, c.before,
+    sum(n) FILTER (NOT now AND NOT earlier) AS kept, sum(n) FILTER (now AND NOT earlier) AS removed,
+    sum(n) FILTER (now AND earlier) AS redundant, sum(n) FILTER (now AND total = 1) AS unique_fails,
+    sum(good) FILTER (now AND NOT earlier) AS good_lost,
+    sum(toxic) FILTER (now AND NOT earlier) AS toxic_lost
+  FROM kinds k, choice c, LATERAL (SELECT k.fails[c.f] AS now,
+    len(list_filter(c.before, lambda x: k.fails[x])) > 0 AS earlier,
+    len(list_filter(map_values(k.fails), lambda x: x)) AS total) z
+  GROUP BY k.part, c.f, c.before
+),
+shapley AS (
+  SELECT x.part, x.f, sum(x.removed) AS shapley
+  FROM sums x JOIN steps s ON s.f = x.f AND s.before = x.before GROUP BY x.part, x.f
+)
+SELECT x.part, s.filter_order, s.step::int AS step, coalesce(x.kept, 0)::bigint AS kept,
+  coalesce(x.removed, 0)::bigint AS removed, coalesce(x.redundant, 0)::bigint AS redundant,
+  coalesce(x.unique_fails, 0)::bigint AS unique_fails, coalesce(x.good_lost, 0)::bigint AS good_lost,
+  coalesce(x.toxic_lost, 0)::bigint AS toxic_lost, coalesce(y.shapley, 0)::bigint AS shapley
+FROM sums x JOIN steps s ON s.f = x.f AND s.before = x.before
+JOIN shapley y ON y.part = x.part AND y.f = x.f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": NEAR_DEDUP,
@@ -199,4 +259,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_tool_call_linking": TOOL_CALLS,
         "op5_benchmark_decontamination": DECONTAMINATION,
         "op7_url_filter": _url_filter(),
+        "op13_filter_interactions": FILTER_AUDIT,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sigtide.llm import (
-    decontam, embed, graph, licenses, ngram, packing, quality, queries, secretscan, sql, tokens,
+    audit, decontam, embed, graph, licenses, ngram, packing, quality, queries, secretscan, sql, tokens,
     toolcalls, urls)
 from tests.llm.test_words import plain_shingles, plain_words
 
@@ -550,6 +551,86 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
 
 
+# ---- op13 ----------------------------------------------------------------------------------------
+
+def plain_mask(text):
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    upper = sum("A" <= c <= "Z" for c in text)
+    return (int(len(words) < 200) + 2 * (100 * len(set(words)) < 50 * len(words))
+            + 4 * (100 * upper > 3 * len(text)) + 8 * any(c in "#$%&*|" for c in text))
+
+
+def audit_rows():
+    rng = random.Random(11)
+    pool = ["", "a b", "A", "ÀB c\u00a0d", "x\u2003y z", "w " * 250, "# " + "v" * 5, "e" * 100 + "É"]
+    pool += [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 90)) for _ in range(rng.randint(150, 400)))
+             + rng.choice(["", " $", " ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 3]) for _ in range(30)]
+    rows = [(rng.randint(1, 300), rng.choice([*pool, None]), rng.choice(["en", "fr", "", None])) for _ in range(400)]
+    rows += [(None, pool[5], "en"), (None, "only here", "fr"), (7, "one row", "en"), (7, "one row", "en"),
+             (9000, "long " * 400_000, "en")]
+    return rows
+
+
+def plain_audit(rows, labels):
+    least, out = {}, Counter()
+    for i, text, _ in rows:
+        if i is not None:
+            least[text or ""] = min(least.get(text or "", i), i)
+    for i, text, lang in rows:
+        mask = plain_mask(text) + 16 * (i is not None and i > least[text or ""])
+        marks = [x for x in labels if i is not None and x[0] == i]
+        out[lang or "", mask, any(x[1] == 1 for x in marks), any(x[2] == 1 for x in marks)] += 1
+    return out
+
+
+@pytest.mark.parametrize("max_cells", [audit.MAX_CELLS, 1 << 6])
+def test_filter_audit(spark, max_cells):
+    rows = audit_rows()
+    labels = [(i, i % 2, i % 3 % 2) for i in range(1, 300, 2)] + [(5, 0, 1), (5, None, None), (None, 1, 1)]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, lang string, mask string, _id int")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = plain_audit(rows, labels)
+    got = audit.mask_counts(docs, marks, max_cells=max_cells)
+    by_mask = {}
+    for (part, mask, good, toxic), n in want.items():
+        old = by_mask.get((part, mask), (0, 0, 0))
+        by_mask[part, mask] = (old[0] + n, old[1] + n * good, old[2] + n * toxic)
+    assert {(r["part"], r["mask"]): (r["n"], r["good"], r["toxic"]) for r in got.collect()} == by_mask
+    report = {(r["part"], r["filter_order"], r["step"]): r for r in audit.interactions(got).collect()}
+    assert len(report) == 3 * 600
+    removed_by = Counter()
+    for part in ("", "en", "fr"):
+        mine = [(m, g, t, n) for (p, m, g, t), n in want.items() if p == part]
+        for order in itertools.permutations("ABCDE"):
+            before = 0
+            for step, f in enumerate(order, 1):
+                bit = 1 << "ABCDE".index(f)
+                r = report[part, "".join(order), step]
+                removed = [x for x in mine if x[0] & bit and not x[0] & before]
+                n = sum(x[3] for x in removed)
+                removed_by[part, f] += n
+                assert (r["kept"], r["removed"], r["redundant"], r["unique_fails"], r["good_lost"], r["toxic_lost"]) == (
+                    sum(x[3] for x in mine if not x[0] & (before | bit)), n,
+                    sum(x[3] for x in mine if x[0] & bit and x[0] & before),
+                    sum(x[3] for x in mine if x[0] == bit),
+                    sum(x[3] for x in removed if x[1]), sum(x[3] for x in removed if x[2]))
+                before |= bit
+    assert all(r["shapley"] == removed_by[part, order[step - 1]] for (part, order, step), r in report.items())
+    empty = docs.limit(0)
+    assert audit.interactions(audit.mask_counts(empty, marks)).count() == 0
+
+
+def test_unique_texts_are_cleared(spark):
+    texts = [f"text {i}" for i in range(3000)] + ["copy"] * 40
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_id long, _text string").withColumn(
+        "h", F.xxhash64("_text"))
+    words = 1024
+    left = audit.possible_repeats(rows, audit.repeat_cells(rows.select("h"), words), words).collect()
+    assert sum(r["_text"] == "copy" for r in left) == 40
+    assert len(left) < 40 + 300
+
+
 # ---- SQL -----------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
@@ -557,7 +638,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "conversations", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     got = queries.queries()[name](spark, SMALL)
     columns = sorted(got.columns)
