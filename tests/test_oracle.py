@@ -13,7 +13,7 @@ from tests.conftest import SMALL
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 SQL = entry.oracle_sql()
-KINDS = {"bigint": {"BIGINT", "INTEGER", "HUGEINT"}, "double": {"DOUBLE"}, "string": {"VARCHAR"},
+KINDS = {"bigint": {"BIGINT", "INTEGER", "HUGEINT"}, "int": {"INTEGER"}, "double": {"DOUBLE"}, "string": {"VARCHAR"},
          "boolean": {"BOOLEAN"}}
 
 
