@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtide.llm import (
-    audit, decontam, embed, licenses, ngram, packing, quality, secretscan, sql, tokens, toolcalls, urls)
+    audit, crosstok, decontam, embed, licenses, ngram, packing, quality, secretscan, sql, tokens, toolcalls, urls)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -71,6 +71,13 @@ def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def cross_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return crosstok.scored(_table(spark, sf, "documents").select("doc_id", "text"), vocabulary(),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.interactions(audit.mask_counts(
         _table(spark, sf, "documents").select("doc_id", "text", "lang"), _table(spark, sf, "labels")))
@@ -90,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan,
         "op9_packing": pack,
         "op10_quality_classifier": quality_scores,
+        "op11_cross_tokenizer_alignment": cross_tokenizer,
         "op13_filter_interactions": filter_audit,
         "pipeline": corpus_pipeline.run,
     }

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sigtide.llm import (
-    audit, decontam, embed, graph, licenses, ngram, packing, quality, queries, secretscan, sql, tokens,
+    audit, crosstok, decontam, embed, graph, licenses, ngram, packing, quality, queries, secretscan, sql, tokens,
     toolcalls, urls)
 from tests.llm.test_words import plain_shingles, plain_words
 
@@ -551,6 +551,118 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
 
 
+# ---- op11 ----------------------------------------------------------------------------------------
+
+PATHS = (queries.vocabulary(), queries.vocabulary().replace("byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
+def plain_tokens(text):
+    """(id, bytes) of both vocabularies, by the libraries one text at a time; none where they do not spell it."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer, decoders
+
+    a, b = Tokenizer.from_file(PATHS[0]), SentencePieceProcessor(model_file=PATHS[1])
+    a.encode_special_tokens = True
+    letters = {c: i for i, c in enumerate(map(chr, [*range(33, 127), *range(161, 173), *range(174, 256)]))}
+    points = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [i for i in range(256) if i not in points]
+
+    def of_a(token):
+        return bytes(points[letters[c]] if c in letters else rest[ord(c) - 256] for c in token)
+
+    e = a.encode(" " + text, add_special_tokens=False)
+    left = [(i, of_a(t)) for i, t in zip(e.ids, e.tokens, strict=True)]
+    right = [(i, bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode())
+             for i, p in ((i, b.id_to_piece(i)) for i in b.encode(text))]
+    want = (" " + text).encode()
+    ok = text and b"".join(x for _, x in left) == want == b"".join(x for _, x in right)
+    return (left, right) if ok else ([], [])
+
+
+def plain_alignment(texts):
+    docs, count = [], Counter()
+    for text in texts:
+        spans = []
+        for side in plain_tokens(text or ""):
+            at, out = 0, []
+            for i, raw in side:
+                out.append((i, at, at + len(raw)))
+                at += len(raw)
+            spans.append(out)
+        links = [(x[0], y[0]) for x in spans[0] for y in spans[1] if x[1] < y[2] and y[1] < x[2]]
+        common = sorted({x[2] for x in spans[0]} & {y[2] for y in spans[1]})
+        groups, start = [], 0
+        for end in common:
+            groups.append("|".join(",".join(str(x[0]) for x in side if start <= x[1] and x[2] <= end) for side in spans))
+            start = end
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+        docs.append((len(spans[0]), len(spans[1]), len(groups), links, digest))
+        count.update(set(links))
+    top = {}
+    for (a, _), n in count.items():
+        top[a] = max(top.get(a, 0), n)
+    return [(na, nb, ng, len(links), sum(count[x] == top[x[0]] for x in links), sum(count[x] for x in links), digest)
+            for na, nb, ng, links, digest in docs]
+
+
+ODD_TEXTS = [None, "", " ", "a", "  two  spaces ", "<|endoftext|> is text", "x<s>y</s>", "a\u2581b", "\u2581", "\ufb01n é",
+             "tab\tline\n\nend", "日本語のテキスト 🙂🙂", "zero\0byte", "don't we'll", "the the the the the the the",
+             "the " * 300, "\u0e01\u0e33", "<0x41>", "\u2003wide\u00a0space"]
+
+
+@pytest.mark.parametrize(("rows", "links"), [(crosstok.CHUNK_ROWS, crosstok.CHUNK_LINKS), (20, 2000)])
+def test_cross_tokenizer(spark, rows, links):
+    texts = ODD_TEXTS + [t[:800] for _, t in texts_of(spark)[:60]] + ["the cat", "the cat", "a"]
+    want = plain_alignment(texts)
+    ids = [None if i == 3 else i // 2 if i < 6 else i for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(zip(ids, texts, strict=True))],
+                               "doc_id long, text string, chunk int, pair string").repartition(3)
+    got = crosstok.scored(df, *PATHS, chunk_rows=rows, chunk_links=links)
+    assert got.columns[:3] == ["doc_id", "chunk", "pair"]
+    found = {r["chunk"]: r for r in got.collect()}
+    assert len(found) == len(texts)
+    for k, w in enumerate(want):
+        assert tuple(found[k][3:]) == w, texts[k]
+        assert found[k]["doc_id"] == ids[k] and found[k]["pair"] == "x"
+    assert crosstok.scored(df.limit(0), *PATHS).count() == 0
+    none = crosstok.scored(df.where("text is null or text = ''"), *PATHS).collect()
+    assert [tuple(r[3:]) for r in none] == [(0, 0, 0, 0, 0, 0, "")] * 2
+    with pytest.raises(ValueError, match="prefix"):
+        crosstok.scored(df.withColumn("n_a", F.lit(1)), *PATHS)
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    model = crosstok.PieceModel(PATHS[1])
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab", " ", "  ", "the", "\n", " of", "é", "\u2581"]) for _ in range(400)) for _ in range(50)]
+    whole = [model.model.encode(t) for t in texts]
+    monkeypatch.setattr(crosstok, "LONG_TEXT", 20)
+    assert sum(len(model._parts(t)) for t in texts) > 500
+    ids, at = model.encode(texts)
+    for k, (t, w) in enumerate(zip(texts, whole, strict=True)):
+        if "\u2581" not in t:
+            assert ids[at[k]:at[k + 1]].tolist() == w
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_postings_round_trip(seed):
+    rng = np.random.default_rng(seed)
+    n_rows = [1, 9, 300, 5000][seed]
+    chunk = crosstok._Chunk()
+    want = Counter()
+    while chunk.rows < n_rows:
+        step = min(int(rng.integers(1, 200)), n_rows - chunk.rows)
+        n = int(rng.integers(0, 20 * step))
+        pair, row = rng.zipf(1.3, n) % 50 + (1 << 33), rng.integers(0, step, n)
+        want.update(zip(pair.tolist(), (row + chunk.rows).tolist(), strict=True))
+        chunk.add(pair, row, step)
+    found = chunk.postings()
+    of, row, links = crosstok._decode_postings(
+        found.column("n").to_numpy().astype(np.int64), found.column("rows"), found.column("planes"))
+    pair = found.column("pair").to_numpy()[of]
+    assert dict(zip(zip(pair.tolist(), row.tolist(), strict=True), links.tolist(), strict=True)) == want
+
+
 # ---- op13 ----------------------------------------------------------------------------------------
 
 def plain_mask(text):
