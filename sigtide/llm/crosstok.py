@@ -162,8 +162,10 @@ class Aligned:
         self.b, self.at_b = _drop(ids_b, off_b, good)
         # ends of tokens on one axis of bytes; a text's last end is common to both
         self.end_a, self.end_b = np.cumsum(a.bytes.size[self.a]), np.cumsum(b.bytes.size[self.b])
-        self.groups = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
-        ends = np.union1d(self.end_a, self.end_b)
+        ends = np.sort(np.concatenate([self.end_a, self.end_b]), kind="stable")
+        twice = ends[1:] == ends[:-1]
+        self.groups = ends[1:][twice]
+        ends = ends[np.concatenate([[True], ~twice])[:len(ends)]]
         # between two neighbouring ends lies one overlap of one A and one B token
         self.link_a = np.searchsorted(self.end_a, ends)
         self.link_b = np.searchsorted(self.end_b, ends)
