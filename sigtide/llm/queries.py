@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtide.llm import (
-    audit, crosstok, decontam, embed, licenses, ngram, packing, quality, secretscan, sql, tokens, toolcalls, urls)
+    audit, crosstok, decontam, embed, licenses, ngram, packing, quality, secretscan, sql, tokens, toolcalls, urls,
+    wrappers)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -78,6 +79,10 @@ def cross_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
                            public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.main_text(_table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
 def filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.interactions(audit.mask_counts(
         _table(spark, sf, "documents").select("doc_id", "text", "lang"), _table(spark, sf, "labels")))
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": pack,
         "op10_quality_classifier": quality_scores,
         "op11_cross_tokenizer_alignment": cross_tokenizer,
+        "op12_html_extraction": page_texts,
         "op13_filter_interactions": filter_audit,
         "pipeline": corpus_pipeline.run,
     }
