@@ -376,22 +376,28 @@ def pair_scores(postings: DataFrame) -> DataFrame:
 
 
 def return_scores(postings: DataFrame, scores: DataFrame) -> DataFrame:
-    """(chunk, row, n_best, count_sum): scores summed over the links of each row with any."""
+    """(chunk, row, n_best, count_sum): scores summed over the links of each row with any.
 
-    def sums(key: tuple, table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy().astype(np.int64)
-        of, row, links = _decode_postings(n, table.column("rows"), table.column("planes"))
-        best, count = (table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("best", "count"))
-        total = int(row.max()) + 1
+    Only names of postings meet the scores; the postings themselves move once, to their chunk.
+    """
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("pair"), right.sort_by("pair")
+        n = left.column("n").to_numpy().astype(np.int64)
+        of, row, links = _decode_postings(n, left.column("rows"), left.column("planes"))
+        best, count = (right.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("best", "count"))
+        total = int(row.max(initial=-1)) + 1
         n_best, count_sum, seen = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, bool)
         np.add.at(n_best, row, links * best[of])
         np.add.at(count_sum, row, links * count[of])
         seen[row] = True
         at = np.flatnonzero(seen)
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(at), pa.int64()), "row": pa.array(at, pa.int32()),
+        chunk = left.column("chunk").to_numpy()[:1]
+        return pa.table({"chunk": np.repeat(chunk, len(at)), "row": pa.array(at, pa.int32()),
                          "n_best": n_best[at], "count_sum": count_sum[at]})
 
-    return postings.join(scores, "pair").drop("pair").groupBy("chunk").applyInArrow(
+    named = postings.select("chunk", "pair").join(scores, "pair")
+    return postings.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(
         sums, "chunk long, row int, n_best long, count_sum long")
 
 
