@@ -382,7 +382,7 @@ def return_scores(postings: DataFrame, scores: DataFrame) -> DataFrame:
     """
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.sort_by("pair"), right.sort_by("pair")
+        left, right = left.sort_by("pair"), right.sort_by("of_pair")
         n = left.column("n").to_numpy().astype(np.int64)
         of, row, links = _decode_postings(n, left.column("rows"), left.column("planes"))
         best, count = (right.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("best", "count"))
@@ -396,8 +396,9 @@ def return_scores(postings: DataFrame, scores: DataFrame) -> DataFrame:
         return pa.table({"chunk": np.repeat(chunk, len(at)), "row": pa.array(at, pa.int32()),
                          "n_best": n_best[at], "count_sum": count_sum[at]})
 
-    named = postings.select("chunk", "pair").join(scores, "pair")
-    return postings.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(
+    named = postings.select(F.col("chunk").alias("in_chunk"), "pair").join(scores, "pair").select(
+        "in_chunk", F.col("pair").alias("of_pair"), "count", "best")
+    return postings.groupBy("chunk").cogroup(named.groupBy("in_chunk")).applyInArrow(
         sums, "chunk long, row int, n_best long, count_sum long")
 
 
