@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigtide.operators.carry import Ordered
 from sigtide.operators.features import select_features
 from sigtide.operators.timeseries import tail_n
 from sigtide.session import materialised
@@ -50,13 +51,11 @@ def ts_split(df: DataFrame, k: int = 2, order: str = "date") -> DataFrame:
     """Expanding chronological folds: one copy per (fold, part) a row belongs to.
 
     With n rows the test block of fold i has floor(n / (k + 1)) rows and ends (k - i - 1) blocks
-    before the end; its training part is everything earlier. ``df`` is a daily table with unique
-    dates, so the ordering is bounded by the calendar.
+    before the end; its training part is everything earlier. Dates are unique. Rows are numbered
+    block by block, without a task that orders all of them.
     """
-    whole = Window.partitionBy()
-    numbered = df.withColumns({
-        "_i": F.row_number().over(Window.orderBy(order)) - 1,
-        "_n": F.count(F.lit(1)).over(whole)})
+    numbered, n = Ordered(df, order).numbered("_i")
+    numbered = numbered.select(*df.columns, "_i", F.lit(n).cast("long").alias("_n"))
     fold = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")
     size = F.floor(F.col("_n") / (k + 1))
     start = F.col("_n") - (k - F.col("fold")) * size

@@ -2,7 +2,8 @@
 
 They work on tables that hold one row per key and day (see ``stats.calendar_window``); callers
 aggregate raw records to days first. A key's history is then bounded by the calendar, whatever
-share of the raw rows it has.
+share of the raw rows it has. Without a key the order is that of the whole table: it is cut into range
+blocks and values are carried from block to block (``carry.Ordered``), so no task holds it all.
 """
 
 from __future__ import annotations
@@ -13,11 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide.functions.stats import calendar_window
+from sigtide.operators.carry import Ordered
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str], order: str = "date",
                  by: Sequence[str] = ()) -> DataFrame:
     """Replace NULLs by the last earlier value, column by column."""
+    if not by:
+        filled = Ordered(df, order).last({f"_last_{c}": F.col(c) for c in cols}).done()
+        return filled.select(*[F.col(f"_last_{c}").alias(c) if c in cols else c for c in df.columns])
     spec = calendar_window(order, *by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(spec) for c in cols})
 
@@ -28,11 +33,14 @@ def resample_daily_linear(df: DataFrame, date: str = "date", value: str = "value
 
     Each known point expands to the days up to the next one, so no spine join is needed.
     """
-    spec = calendar_window(date, *by)
     known = df.where(F.col(value).isNotNull()).select(
-        *by, F.col(date).alias("_d0"), F.col(value).cast("double").alias("_v0"),
-        F.lead(date).over(spec).alias("_d1"),
-        F.lead(F.col(value).cast("double")).over(spec).alias("_v1"))
+        *by, F.col(date).alias("_d0"), F.col(value).cast("double").alias("_v0"))
+    if by:
+        spec = calendar_window("_d0", *by)
+        known = known.withColumns({"_d1": F.lead("_d0").over(spec), "_v1": F.lead("_v0").over(spec)})
+    else:
+        known = Ordered(known, "_d0").last(
+            {"_d1": F.col("_d0"), "_v1": F.col("_v0")}, reverse=True, inclusive=False).done()
     until = F.coalesce(F.date_sub("_d1", 1), F.col("_d0"))
     days = known.withColumn(date, F.explode(F.sequence("_d0", until)))
     gap = F.datediff("_d1", "_d0").cast("double")
@@ -42,13 +50,15 @@ def resample_daily_linear(df: DataFrame, date: str = "date", value: str = "value
     return days.select(*by, date, line.alias(value))
 
 
-def _matched(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], pick,
-             unique_left: bool) -> DataFrame:
-    """Attach to ``left`` the right row that ``pick`` chooses for each (by, on).
+def _matched(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], unique_left: bool,
+             ahead: bool) -> DataFrame:
+    """Attach to ``left`` the last right row up to each (by, on); with ``ahead`` the closer one of
+    that and the first one from there on, a tie going to the later.
 
     Only the distinct left keys are ordered together with the right rows, so a repetitive left
-    table is not dragged through the windows. When left keys are unique anyway, the left rows go
-    along themselves, which saves reading them twice and joining back.
+    table is not dragged through the order. When left keys are unique anyway, the left rows go
+    along themselves, which saves reading them twice and joining back. The look ahead is a running
+    value in reverse order: a frame that ends at the last row would be evaluated anew for every row.
     """
     extra = [c for c in right.columns if c not in (on, *by)]
     rest = [c for c in left.columns if c not in (on, *by)]
@@ -57,8 +67,27 @@ def _matched(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], pick
             else left.select(*by, on).distinct()).withColumn("_left", F.lit(True))
     rows = right.select(*by, on, F.struct(F.col(on).alias("_on"), *extra).alias("_row"),
                         F.lit(False).alias("_left"))
-    found = rows.unionByName(keys, allowMissingColumns=True).withColumn("_hit", pick).where(
-        "_left")
+    both = rows.unionByName(keys, allowMissingColumns=True)
+    if by:
+        def seen(order: Column) -> Column:
+            return F.last("_row", ignorenulls=True).over(Window.partitionBy(*by).orderBy(
+                order, "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+        found = both.withColumn("_back", seen(F.col(on).asc()))
+        if ahead:
+            found = found.withColumn("_ahead", seen(F.col(on).desc()))
+    else:
+        ordered = Ordered(both, on, ties=["_left"]).last({"_back": F.col("_row")})
+        if ahead:
+            # right rows of the day itself are found looking back
+            ordered = ordered.last({"_ahead": F.col("_row")}, reverse=True)
+        found = ordered.done()
+    pick = F.col("_back")
+    if ahead:
+        before, after = F.datediff(F.col(on), "_back._on"), F.datediff("_ahead._on", F.col(on))
+        pick = F.when(F.col("_ahead").isNull() | (before < after) | (before == 0), pick).otherwise(
+            F.col("_ahead"))
+    found = found.withColumn("_hit", pick).where("_left")
     hits = [F.col("_hit")[c].alias(c) for c in extra]
     if unique_left:
         return found.select(
@@ -72,27 +101,13 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "date", by: Sequence[
 
     ``right`` holds one row per key and date.
     """
-    spec = Window.partitionBy(*by).orderBy(on, "_left").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return _matched(left, right, on, by, F.last("_row", ignorenulls=True).over(spec), unique_left)
+    return _matched(left, right, on, by, unique_left, ahead=False)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, on: str = "date", by: Sequence[str] = (),
                  unique_left: bool = False) -> DataFrame:
-    """Right row with the closest date; a tie goes to the later one.
-
-    The look ahead is a running value in reverse order: a frame that ends at the last row would
-    be evaluated anew for every row.
-    """
-    def seen(order) -> Column:
-        return F.last("_row", ignorenulls=True).over(
-            Window.partitionBy(*by).orderBy(order, "_left").rowsBetween(
-                Window.unboundedPreceding, Window.currentRow))
-
-    back, ahead = seen(F.col(on).asc()), seen(F.col(on).desc())
-    before, after = F.datediff(F.col(on), back["_on"]), F.datediff(ahead["_on"], F.col(on))
-    pick = F.when(ahead.isNull() | (before < after), back).otherwise(ahead)
-    return _matched(left, right, on, by, pick, unique_left)
+    """Right row with the closest date; a tie goes to the later one."""
+    return _matched(left, right, on, by, unique_left, ahead=True)
 
 
 def align_signals(returns: DataFrame, signals: DataFrame, mode: str = "exact_ffill",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from sigtide import constants as K
 from sigtide.functions.stats import spearman_kernel
-from sigtide.operators import backtest, dedup, features, labels, sentiment, timeseries
+from sigtide.operators import backtest, dedup, features, labels, model, sentiment, timeseries
 from sigtide.operators import topics, validation
+from sigtide.plans import queries
+from tests.conftest import SMALL
 
 DAY = dt.date(2024, 1, 1)
 
@@ -125,6 +128,74 @@ def test_forward_returns_and_tail(spark, rows):
     assert diff["diff"] == 0.0
 
 
+@pytest.fixture
+def many_blocks(spark):
+    """Range blocks stay apart although the tables are small."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_order_without_a_key(spark, rows, many_blocks, seed):
+    """Values carried across blocks, against loops over the sorted rows."""
+    rng = random.Random(seed)
+    at = sorted(rng.sample(range(400), 60))
+    given = [(day(i), rng.choice([None, None, None, float(i)]), rng.choice([None, f"s{i}"])) for i in at]
+    df = spark.createDataFrame(rng.sample(given, len(given)), "date date, value double, word string")
+    want, value, word = [], None, None
+    for d, v, w in given:
+        value, word = v if v is not None else value, w if w is not None else word
+        want.append((d, value, word))
+    filled = timeseries.forward_fill(df, ["value", "word"])
+    assert filled.columns == df.columns
+    assert sorted(map(tuple, filled.collect())) == want
+
+    known = [(i, v) for i, (_, v, _) in zip(at, given, strict=True) if v is not None]
+    line = []
+    for (i, v), (j, w) in zip(known, known[1:], strict=False):
+        line += [(i + k, v + (w - v) * k / (j - i)) for k in range(j - i)]
+    got = timeseries.resample_daily_linear(df).select(F.datediff("date", F.lit(DAY)).alias("d"), "value")
+    got = dict(map(tuple, got.collect()))
+    assert sorted(got) == [i for i, _ in [*line, known[-1]]]
+    assert all(abs(got[i] - v) < 1e-9 for i, v in [*line, known[-1]])
+
+    right = daily(spark, [(day(i), float(i)) for i, _ in known])
+    left = spark.createDataFrame([(day(i), i) for i in range(-5, 405, 3)], "date date, k int")
+    for unique in (True, False):
+        near = dict(rows(timeseries.nearest_join(left, right, unique_left=unique), "k", "value"))
+        assert near == {k: float(min((i for i, _ in known), key=lambda i: (abs(i - k), -i))) for k in near}
+        asof = dict(rows(timeseries.asof_join(left, right, unique_left=unique), "k", "value"))
+        assert asof == {k: max((float(i) for i, _ in known if i <= k), default=None) for k in asof}
+        assert len(near) == len(asof) == left.count()
+
+    parts = {(r["date"], r["fold"]): r["part"] for r in model.ts_split(df.select("date"), 3).collect()}
+    size = len(at) // 4
+    for fold in range(3):
+        start = len(at) - (3 - fold) * size
+        for k, i in enumerate(at):
+            assert parts.get((day(i), fold)) == ("train" if k < start else "test" if k < start + size else None)
+
+
+def test_order_of_an_empty_table(spark, many_blocks):
+    none = daily(spark, [])
+    assert timeseries.forward_fill(none, ["value"]).count() == 0
+    assert timeseries.resample_daily_linear(none).count() == 0
+    assert timeseries.nearest_join(none, none.withColumnRenamed("value", "v")).count() == 0
+    left = daily(spark, [(day(1), 1.0)])
+    assert timeseries.asof_join(left, none.withColumnRenamed("value", "v")).first()["v"] is None
+
+
+@pytest.mark.parametrize("name", ["ffill_align", "asof_align", "vix_interpolated", "nearest_join", "ts_split"])
+def test_no_task_orders_a_whole_table(spark, name):
+    plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
 # ---- features ------------------------------------------------------------------------------------
 
 def test_goldstein_edges(spark):
