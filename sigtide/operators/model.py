@@ -8,9 +8,11 @@ accuracy figures are not comparable.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -18,9 +20,11 @@ from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssemble
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sigtide.operators.carry import Ordered
 from sigtide.operators.features import select_features
+from sigtide.operators.shapley import leaves_of, node_table, shapley
 from sigtide.operators.timeseries import tail_n
 from sigtide.session import materialised
 
@@ -32,6 +36,7 @@ class TrainParams:
     depth: int = 4
     learning_rate: float = 0.05
     row_sample: float = 0.8
+    bootstrap: bool = True          # a forest's rows are drawn with replacement
     column_sample: float = 0.8
     seed: int = 42
     folds: int = 2
@@ -104,7 +109,8 @@ def _estimator(p: TrainParams):
     if p.estimator == "forest":
         return RandomForestClassifier(
             featuresCol="_features", labelCol="_label", numTrees=p.trees, maxDepth=p.depth,
-            subsamplingRate=p.row_sample, featureSubsetStrategy=str(p.column_sample), seed=p.seed)
+            subsamplingRate=p.row_sample, bootstrap=p.bootstrap,
+            featureSubsetStrategy=str(p.column_sample), seed=p.seed)
     if p.estimator == "boosted":
         return OneVsRest(
             featuresCol="_features", labelCol="_label", rawPredictionCol="rawPrediction",
@@ -205,50 +211,44 @@ def predict_latest(model: RegimeModel | None, matrix: DataFrame, order: str = "d
         order, "regime", "confidence", "probabilities")
 
 
-def attribution(model: RegimeModel, matrix: DataFrame, n: int = 50, permutations: int = 1,
-                seed: int = 42, order: str = "date") -> DataFrame:
-    """Mean absolute contribution of each feature over the last ``n`` days and all classes.
+def contributions(model: RegimeModel, matrix: DataFrame, order: str = "date") -> DataFrame:
+    """(day, feature, class, phi, base): exact Shapley values of every day's score of every class.
 
-    Shapley values: for a day and each other of the ``n`` days, in ``permutations`` feature orders a
-    pair, features switch one by one from the other day's value to the day's own, and the change in
-    probability is the contribution of the feature that switched. Partners are complete, orders
-    are drawn (n x permutations of them a day) from hashes, so a rerun agrees. Days x days x
-    permutations x (features + 1) rows are scored by one ``transform``.
+    For a forest the score is the class probability, for the boosted form the class's margin before
+    it is squashed. ``base`` is the score with no feature known; base and a day's phi sum to its
+    score. Days are explained in Arrow batches; the trees, bounded by the training parameters, travel
+    with the kernel.
     """
-    names, size = model.features, len(model.features)
-    rows = select_features(tail_n(matrix, n, order), names, (order,))
-    values = F.array(*[F.col(c) for c in names])
-    # Position of each of the last n days; n rows in all.
-    days = rows.select(F.row_number().over(Window.orderBy(order)).alias("_day"),
-                       values.alias("_own"))
-    count = days.agg(F.max("_day")).scalar()
-    draws = days.select("_day", "_own", F.explode(
-        F.sequence(F.lit(0), count * permutations - 1)).alias("_perm"))
-    draws = draws.withColumn("_partner", (F.col("_perm") % count + 1).cast("int")).join(
-        days.select(F.col("_day").alias("_partner"), F.col("_own").alias("_other")), "_partner")
-    # Random order: feature indexes sorted by a hash of (seed, day, permutation, feature).
-    shuffled = F.transform(F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(
-            F.xxhash64(F.lit(seed + 1), "_day", "_perm", i).alias("h"), i.alias("i")))),
-        lambda s: s["i"])
-    draws = draws.withColumn("_order", shuffled)
-    steps = draws.select("_day", "_perm", "_order", "_own", "_other", F.explode(
-        F.sequence(F.lit(0), F.lit(size))).alias("_step"))
-    mixed = steps.select("_day", "_perm", "_order", "_step", *[
-        F.when(F.array_position("_order", F.lit(i)) <= F.col("_step"), F.col("_own")[i])
-        .otherwise(F.col("_other")[i]).alias(c) for i, c in enumerate(names)])
-    scored = model.stages.transform(mixed)
-    scored = scored.select("_day", "_perm", "_order", "_step",
-                           _probabilities(model, scored).alias("_p"))
-    path = Window.partitionBy("_day", "_perm").orderBy("_step")
-    moved = scored.withColumn("_before", F.lag("_p").over(path)).where(F.col("_step") > 0).select(
-        "_day", F.element_at("_order", F.col("_step")).alias("_i"),
-        F.posexplode(F.zip_with("_p", "_before", lambda a, b: a - b)).alias("_class", "_delta"))
-    phi = moved.groupBy("_day", "_i", "_class").agg(F.avg("_delta").alias("phi"))
-    labels = F.array(*[F.lit(c) for c in names])
-    return phi.groupBy("_i").agg(F.avg(F.abs("phi")).alias("mean_shap")).select(
-        F.element_at(labels, F.col("_i") + 1).alias("feature"), "mean_shap").orderBy(
-        F.col("mean_shap").desc(), "feature")
+    names, classes = model.features, model.classes
+    data = select_features(matrix, names, (order,))
+    groups, base = leaves_of(node_table(model.stages.stages[-1]).collect(), len(classes))
+    schema = StructType([data.schema[order], *StructType.fromDDL(
+        "feature string, class string, phi double, base double").fields])
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                                 for c in names])
+            phi = shapley(groups, x, len(classes))
+            n, cells = len(x), len(names) * len(classes)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(order).take(np.repeat(np.arange(n), cells)),
+                pa.array(np.tile(np.repeat(names, len(classes)), n), pa.string()),
+                pa.array(np.tile(classes, n * len(names)), pa.string()), pa.array(phi.ravel()),
+                pa.array(np.tile(base, n * len(names)))], schema.names)
+
+    return data.mapInArrow(explain, schema)
+
+
+def attribution(model: RegimeModel, matrix: DataFrame, n: int = 50, order: str = "date") -> DataFrame:
+    """Mean absolute Shapley value of each feature over the last ``n`` days and all classes."""
+    return contributions(model, tail_n(matrix, n, order), order).groupBy("feature").agg(
+        F.avg(F.abs("phi")).alias("mean_shap")).orderBy(F.col("mean_shap").desc(), "feature")
+
+
+def top_attribution(scores: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` features with the largest mean contribution; ties by name."""
+    return scores.orderBy(F.col("mean_shap").desc(), "feature").limit(n)
 
 
 def split_importance(spark: SparkSession, model: RegimeModel) -> DataFrame:

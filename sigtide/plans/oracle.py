@@ -678,6 +678,23 @@ def oracle_sql() -> dict[str, str]:
   source, n_days, n_records FROM (SELECT * FROM ({quarter}) q ORDER BY date DESC LIMIT 1) l,
   (SELECT unnest([true, false]) AS known) k, (SELECT source, count(DISTINCT date) AS n_days,
     count(*) AS n_records FROM docs GROUP BY source) c""", "shares3", "docs")
+    # one tree: quarter 3 is risk_on, else the day of the month decides; an unknown split counts both
+    # sides by their days
+    shap = """WITH d AS (SELECT date, (quarter(date) = 3)::INT AS q, (day(date) % 4 = 0)::INT AS b FROM shares3),
+  s AS (SELECT avg(q) AS p, avg(b) FILTER (q = 0) AS r FROM d),
+  c AS (SELECT d.*, s.*, unnest(['risk_on', 'risk_off', 'transition']) AS class FROM d, s),
+  v AS (SELECT *, (class = 'risk_on')::INT AS e1, (class = 'transition')::INT AS e2,
+    (class = 'risk_off')::INT AS e3 FROM c),
+  w AS (SELECT date, class, e1 * p + (1 - p) * (e2 * r + e3 * (1 - r)) AS base,
+    e1 * (q - p) + (p - q) * (e2 * (r + b) + e3 * (2 - r - b)) / 2 AS level,
+    (e2 - e3) * (b - r) * (2 - p - q) / 2 AS band FROM v),
+  x AS (SELECT date, class, base, unnest(['level', 'band', 'n_orders']) AS feature,
+    unnest([level, band, 0.0]) AS phi FROM w)"""
+    o["shapley_known"] = _sql(
+        f"SELECT {_D}, feature, class, {_r('phi')}, {_r('base')} FROM ({shap} SELECT * FROM x) x", "shares3")
+    o["attribution_known"] = _sql(f"""SELECT feature, {_r('avg(abs(phi))', 'mean_shap')}
+  FROM ({shap} SELECT * FROM x WHERE date IN (SELECT date FROM d ORDER BY date DESC LIMIT 50))
+  GROUP BY feature ORDER BY avg(abs(phi)) DESC, feature LIMIT 10""", "shares3")
     o["latest_signal"] = _sql(f"""SELECT s.*, source, n_days, n_records FROM (
   SELECT {_D}, regime, {_r('confidence')} FROM signals ORDER BY signals.date DESC LIMIT 1) s,
   (SELECT source, count(DISTINCT date) AS n_days, count(*) AS n_records FROM docs GROUP BY source)""",

@@ -893,6 +893,33 @@ def attribution(spark, sf):
     return model.attribution(fitted, labelled)
 
 
+def _two_splits(spark, sf):
+    """A panel whose regime two features decide: the third quarter, else the day of the month. One tree
+    over all days finds the quarter first, as that leaves less to decide."""
+    day = B.status_shares(spark, sf).select("date", "n_orders")
+    panel = day.withColumns({
+        "level": F.when(F.quarter("date") == 3, 0.0).otherwise(10.0),
+        "band": F.when(F.dayofmonth("date") % 4 == 0, 0.0).otherwise(8.0)})
+    labelled = panel.withColumn("regime", F.when(F.col("level") == 0, "risk_on").when(
+        F.col("band") == 0, "transition").otherwise("risk_off"))
+    return panel, model.train(labelled, model.TrainParams(
+        trees=1, row_sample=1.0, bootstrap=False, column_sample=1.0, folds=0))[0]
+
+
+@_query
+def shapley_known(spark, sf):
+    """Contributions of every day to every class by a tree of a known rule."""
+    panel, fitted = _two_splits(spark, sf)
+    return model.contributions(fitted, panel)
+
+
+@_query
+def attribution_known(spark, sf):
+    """Largest mean contributions over the last 50 days by a tree of a known rule."""
+    panel, fitted = _two_splits(spark, sf)
+    return model.top_attribution(model.attribution(fitted, panel))
+
+
 @_query
 def latest_signal(spark, sf):
     """Newest published signal with the record counts of each source."""

@@ -281,17 +281,14 @@ def stage_predict(spark: SparkSession, root: str, all_days: bool = False) -> Dat
     return _logged(spark, paths, "predict", work)
 
 
-def stage_attribution(spark: SparkSession, root: str, n: int = 50,
-                      permutations: int = 1) -> DataFrame:
+def stage_attribution(spark: SparkSession, root: str, n: int = 50) -> DataFrame:
     """Write all feature attributions; returns the ten largest."""
     paths = Paths(root)
 
     def work():
-        scores = model.attribution(model.load_model(paths.model), matrix(spark, root), n,
-                                   permutations)
+        scores = model.attribution(model.load_model(paths.model), matrix(spark, root), n)
         tables.write_feature(scores, paths.attribution)
-        top = spark.read.parquet(paths.attribution).orderBy(F.col("mean_shap").desc()).limit(10)
-        return top, None, None
+        return model.top_attribution(spark.read.parquet(paths.attribution)), None, None
 
     return _logged(spark, paths, "shap", work)
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sigtide import streaming
-from sigtide.operators import backtest, features, model
+from sigtide.operators import backtest, features, model, shapley
 from sigtide.plans import serve, stages
 from sigtide.sources import raw, tables
 
@@ -72,14 +74,76 @@ def test_boosted_option(labelled):
 
 def test_attribution(spark, trained, labelled):
     fitted, _ = trained
-    got = model.attribution(fitted, labelled, n=20, permutations=4).collect()
+    got = model.attribution(fitted, labelled, n=20).collect()
     assert [r.feature for r in got][0] == "useful" and got[0].mean_shap > 5 * got[1].mean_shap
     assert {r.feature: r.mean_shap for r in got}["flat"] == 0.0
-    again = model.attribution(fitted, labelled, n=20, permutations=4).collect()
-    assert [r.feature for r in again] == [r.feature for r in got]
+    assert model.top_attribution(model.attribution(fitted, labelled, n=20), 1).first().feature == "useful"
     assert model.split_importance(spark, fitted).first().feature == "useful"
 
 
+def plain_values(nodes, x, outputs, size):
+    """Shapley values of one row by listing all subsets and walking every tree."""
+    trees = {}
+    for r in nodes:
+        trees.setdefault((r["output"], r["tree"]), {})[r["id"]] = r
+
+    def weight(node):
+        return node["impurityStats"][0] if node["output"] is not None else sum(node["impurityStats"])
+
+    def walk(key, at, known):
+        tree = trees[key]
+        node = tree[at]
+        if node["leftChild"] < 0:
+            value = np.zeros(outputs)
+            if key[0] is None:
+                value[:len(node["impurityStats"])] = np.array(node["impurityStats"]) / sum(node["impurityStats"])
+                return value / len(trees)
+            value[key[0]] = node["weight"] * node["prediction"]
+            return value
+        sides = [node["leftChild"], node["rightChild"]]
+        f = node["split"]["featureIndex"]
+        if f in known:
+            return walk(key, sides[int(x[f] > node["split"]["leftCategoriesOrThreshold"][0])], known)
+        sizes = [weight(tree[c]) for c in sides]
+        return sum(walk(key, c, known) * n / sum(sizes) for c, n in zip(sides, sizes, strict=True))
+
+    score = {frozenset(s): sum(walk(key, 0, s) for key in trees)
+             for k in range(size + 1) for s in itertools.combinations(range(size), k)}
+    out = np.zeros((size, outputs))
+    for s, v in score.items():
+        for f in set(range(size)) - s:
+            out[f] += (score[s | {f}] - v) * math.factorial(len(s)) * math.factorial(size - len(s) - 1) / math.factorial(size)
+    return out, score[frozenset()]
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_shapley_values_equal_all_subsets(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 7)).round(2)
+    y = np.where(x[:, 0] * x[:, 1] > 0, "a", np.where(x[:, 2] + x[:, 3] > 0.5, "b", "c"))
+    names = [f"f{i}" for i in range(7)]
+    df = spark.createDataFrame([(DAY + dt.timedelta(days=i), *map(float, x[i]), str(y[i])) for i in range(160)],
+                               "date date, " + ", ".join(f"{n} double" for n in names) + ", regime string")
+    fitted, _ = model.train(df, model.TrainParams(kind, trees=6 if kind == "forest" else 3, folds=0))
+    assert fitted.features == names
+    rows_ = df.limit(12)
+    got = {}
+    for r in model.contributions(fitted, rows_).collect():
+        got[r["date"], r["feature"], r["class"]] = (r["phi"], r["base"])
+    nodes = shapley.node_table(fitted.stages.stages[-1]).collect()
+    scores = {r["date"]: r for r in fitted.stages.transform(rows_).collect()}
+    for i in range(160):
+        d = DAY + dt.timedelta(days=i)
+        if d not in scores:
+            continue
+        want, base = plain_values(nodes, x[i], 3, 7)
+        raw = scores[d]["probability" if kind == "forest" else "rawPrediction"].toArray()
+        for c, name in enumerate(fitted.classes):
+            assert raw[c] == pytest.approx(base[c] + want[:, c].sum(), abs=1e-9)
+            for f, feature in enumerate(names):
+                assert got[d, feature, name] == (pytest.approx(want[f, c], abs=1e-9), pytest.approx(base[c], abs=1e-9))
+
+
 def test_save_and_load(trained, labelled, tmp_path, rows):
     fitted, _ = trained
     model.save_model(fitted, str(tmp_path / "m"))
