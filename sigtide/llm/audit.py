@@ -4,7 +4,7 @@ Filters A to D depend on a text alone. E fails a row whose text a smaller id hol
 exact but moves few texts: a counting Bloom table of all texts (64 cells a word, three cells a text)
 is merged from cell counts; a text with a cell that no other text touches is unique and is cleared
 on the map side, where the cells counted twice or more are broadcast as dense words of a size bounded
-by ``MAX_CELLS``. Only possible repeats are shuffled, grouped by full text after a map-side combine.
+by ``cells.MAX_CELLS``. Only possible repeats are shuffled, grouped by full text after a map-side combine.
 With more rows than the bound serves, the table clears fewer texts and the result stays the same.
 
 Rows then become counts by (part, mask of failed filters, labels): at most 128 a part. Everything
@@ -24,13 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sigtide.llm.arrow import extended, map_arrow
+from sigtide.llm.cells import MAX_CELLS, bit, cells_of, dense, looked_up, word_of, words_for
 from sigtide.llm.words import slices, utf8
 from sigtide.session import materialised
 
 FILTERS = "ABCDE"
-CELLS_PER_ROW = 16
-MAX_CELLS = 1 << 29  # 64 MB of bits
-SEGMENT = 1024  # words of 64 cells in one row of the broadcast table
 SALTS = 16
 
 
@@ -77,44 +75,20 @@ def with_masks(rows: DataFrame, text: str) -> DataFrame:
     return map_arrow(rows, task, extended(StructType(kept), {"mask": "int"}))
 
 
-def _cells(h: Column) -> list[Column]:
-    """Three cells in a word of 64."""
-    return [F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(3)]
-
-
-def _word(h: Column, words: int) -> Column:
-    return F.shiftrightunsigned(h, 18).bitwiseAND(F.lit(words - 1))
-
-
-def _bit(cell: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), cell)
-
-
 def repeat_cells(hashes: DataFrame, words: int) -> DataFrame:
-    """(segment, bits): the cells that two or more rows of ``hashes.h`` touch, ``SEGMENT`` words a row.
+    """(segment, bits): the cells that two or more rows of ``hashes.h`` touch.
 
     Counts are combined per task before they are merged. Words nothing repeats in are zero.
     """
-    cell = hashes.select(_word(F.col("h"), words).alias("word"), F.explode(F.array_distinct(
-        F.array(*_cells(F.col("h"))))).alias("cell"))
-    twice = cell.groupBy("word", "cell").count().where("count > 1").select(
-        "word", _bit(F.col("cell")).alias("bits"))
-    grid = hashes.sparkSession.range(words).select(
-        F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    return twice.unionByName(grid).groupBy("word").agg(F.bit_or("bits").alias("bits")).groupBy(
-        F.expr(f"word div {SEGMENT}").alias("segment")).agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
+    cell = hashes.select(word_of(F.col("h"), words).alias("word"), F.explode(F.array_distinct(
+        F.array(*cells_of(F.col("h"))))).alias("cell"))
+    return dense(cell.groupBy("word", "cell").count().where("count > 1").select(
+        "word", bit(F.col("cell")).alias("bits")), words)
 
 
 def possible_repeats(rows: DataFrame, cells: DataFrame, words: int) -> DataFrame:
     """The rows whose hash ``h`` touches no cell of its own; the others are unique for certain."""
-    mask = F.lit(0).cast("long")
-    for c in _cells(F.col("h")):
-        mask = mask.bitwiseOR(_bit(c))
-    word = _word(F.col("h"), words)
-    return rows.withColumn("segment", F.expr(f"({words - 1} & shiftrightunsigned(h, 18)) div {SEGMENT}")).join(
-        F.broadcast(cells), "segment").where(
-        F.get("bits", (word % SEGMENT).cast("int")).bitwiseAND(mask) == mask).drop("segment", "bits")
+    return looked_up(rows, F.col("h"), cells, words, "_hit").where("_hit").drop("_hit")
 
 
 def _key(text: Column) -> Column:
@@ -135,7 +109,7 @@ def failed(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                        whole.alias("_text"))
     facts = materialised(with_masks(rows.select(
         "*", F.xxhash64("_text").alias("h"), _key(F.col("_text")).alias("key")), "_text"), "audit-facts")
-    words = max(SEGMENT, min(max_cells, 1 << (facts.count() * CELLS_PER_ROW).bit_length()) // 64)
+    words = words_for(facts.count(), max_cells)
     cells = materialised(repeat_cells(facts.select("h"), words), "audit-cells")
     # the full texts decide; their digest only carries the minimum back to rows without texts
     least = possible_repeats(rows.where("_id is not null").select(
@@ -187,15 +161,15 @@ def interactions(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
 
     choice = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(b).alias("before"),
                                           F.lit(orders_of(b)).alias("orders")) for f, b in sets]))
-    mask, bit = F.col("mask"), _bit(F.col("c.f")).cast("int")
-    now, earlier = mask.bitwiseAND(bit) != 0, mask.bitwiseAND(F.col("c.before")) != 0
+    mask, own = F.col("mask"), bit(F.col("c.f")).cast("int")
+    now, earlier = mask.bitwiseAND(own) != 0, mask.bitwiseAND(F.col("c.before")) != 0
 
     def total(which: Column, what: str = "n") -> Column:
         return F.sum(F.when(which, F.col(what)).otherwise(0))
 
     sums = counts.withColumn("c", choice).groupBy("part", "c.f", "c.before", "c.orders").agg(
         total(~now & ~earlier).alias("kept"), total(now & ~earlier).alias("removed"),
-        total(now & earlier).alias("redundant"), total(mask == bit).alias("unique_fails"),
+        total(now & earlier).alias("redundant"), total(mask == own).alias("unique_fails"),
         total(now & ~earlier, "good").alias("good_lost"),
         total(now & ~earlier, "toxic").alias("toxic_lost"))
     shapley = sums.groupBy("part", "f").agg(F.sum(F.col("removed") * F.col("orders")).alias("shapley"))

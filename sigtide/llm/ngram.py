@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sigtide.llm.graph import components, forest
 from sigtide.llm.arrow import extended, map_arrow
+from sigtide.llm.cells import KeyFilter
 from sigtide.llm.words import SHINGLE, Words, find_words, mix, powers, shingles, slices
 from sigtide.session import materialised
 
@@ -237,13 +238,14 @@ def links(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
 def sketch_texts(docs: DataFrame, doc: str, text: str, members: DataFrame) -> DataFrame:
     """One text per tied class, found by the id of the class's smallest member.
 
-    An id may occur with several texts; the word-sequence hash of the text decides.
+    An id may occur with several texts; the word-sequence hash of the text decides. Texts of other
+    ids are told by a filter on the map side and never move.
     """
-    keyed = docs.select(docs[doc].alias("_rep"), docs[text].alias("_text")).join(
-        members.select("_rep").distinct(), "_rep", "left_semi")
-    hashed = sketch_nodes(keyed)
-    return materialised(hashed.join(members, ["_node", "_rep"]).groupBy("_node", "_set", "_n").agg(
-        F.min("_text").alias("_text")), "texts")
+    some, _ = KeyFilter(members, F.xxhash64("_rep")).split(
+        docs.select(docs[doc].alias("_rep"), docs[text].alias("_text")), F.xxhash64("_rep"))
+    # a class has one _rep, so the join's partitioning serves the grouping too
+    return materialised(sketch_nodes(some).join(members, ["_node", "_rep"]).groupBy(
+        "_node", "_rep", "_set", "_n").agg(F.min("_text").alias("_text")).drop("_rep"), "texts")
 
 
 def sketch_nodes(rows: DataFrame) -> DataFrame:
