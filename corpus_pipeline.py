@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtide.llm import decontam, ngram, packing, quality, secretscan
+from sigtide.llm.cells import KeyFilter
 from sigtide.llm.queries import vocabulary
 from sigtide.session import materialised, scratch_path
 
@@ -39,17 +40,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # the least key has the smallest id; where that id has more texts, the texts decide
     least = rows.where("_key.no_id = _group.no_id and _key.doc_id <=> _group.doc_id")
     several = least.groupBy("_group").count().where("count > 1").select("_group")
-    texts = keyed.select("_key", "text").join(
-        least.join(several, "_group", "left_semi").select("_key", "_group"), "_key")
-    first = texts.groupBy("_group").agg(F.min(F.struct("text", "_key")).alias("_first")).select(
+    unclear = materialised(least.join(several, "_group", "left_semi").select("_key", "_group"), "row-unclear")
+    # texts move only where a key may be asked for; a filter on the map side knows the others
+    key = F.xxhash64("_key")
+    some, _ = KeyFilter(unclear, key).split(keyed.select("_key", "text"), key)
+    first = some.join(unclear, "_key").groupBy("_group").agg(
+        F.min(F.struct("text", "_key")).alias("_first")).select(
         "_group", F.col("_first._key").alias("_first"))
     other = materialised(rows.join(first, "_group", "left").select(
         "_key", (F.col("_key") == F.coalesce("_first", "_group")).alias("_kept"), "_rows").where(
         "not _kept or _rows > 1").select("_key", "_kept"), "row-verdicts")
-    marked = keyed.join(other, "_key", "left")
+    asked, alone = KeyFilter(other, key).split(keyed, key)
+    marked = asked.join(other, "_key", "left")
     copies = marked.where("_kept").groupBy("_key").agg(
         F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return marked.where("_kept is null").select(*docs.columns).unionByName(copies)
+    return alone.select(*docs.columns).unionByName(
+        marked.where("_kept is null").select(*docs.columns)).unionByName(copies)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
