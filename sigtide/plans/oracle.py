@@ -507,6 +507,7 @@ def oracle_sql() -> dict[str, str]:
   'en.wikipedia.org' AS m_server, CASE WHEN page_id % 3 <> 0 THEN length(html)
     - CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END END AS m_edit_delta, 'ed' AS m_user
   FROM pages WHERE page_id % 11 <> 0 AND page_id % 4 <> 0 AND page_id % 7 <> 0 AND ({words})"""
+    o["stream_changes"] = o["normalize_wikipedia"]
     # macro series and regimes
     o["macro_last_write"] = _sql(f"SELECT {_D}, {_r('value')} FROM all_points", "all_points")
     o["vix_interpolated"] = _sql(f"SELECT {_D}, {_r('value')} FROM vix", "vix")

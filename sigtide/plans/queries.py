@@ -398,6 +398,27 @@ def normalize_wikipedia(spark, sf):
         user="string")
 
 
+@_query
+def stream_changes(spark, sf):
+    """Edit events as server-sent blocks, cut into files inside blocks, landed in two parts with a restart
+    between them."""
+    land, state, out = (scratch_path(spark, x) for x in ("changes", "changes-state", "changes-raw"))
+    lines = _edit_lines(spark, sf).withColumn("n", F.xxhash64("value")).select(
+        "n", F.posexplode(F.array(
+            F.lit("event: message"), F.concat(F.lit("id: "), F.col("n").cast("string")),
+            F.col("value"), F.lit(""))).alias("k", "value"))
+    # the first part ends behind the data line of a block, its blank line is in the second
+    first = (F.col("n") < 0) | ((F.col("n") == F.lit(lines.where("n >= 0").agg(F.min("n")).scalar()))
+                                & (F.col("k") < 3))
+    for name, part in (("0", lines.where(first)), ("1", lines.where(~first))):
+        (part.repartitionByRange(5, "n", "k").sortWithinPartitions("n", "k").select("value")
+            .write.text(f"{land}/{name}"))
+        records = streaming.stream_changes(spark, land, B.EDIT_WORDS, range=200_000)
+        streaming.write_raw_stream(records, out, state).awaitTermination()
+    return _shown(spark.read.parquet(out).drop("feed", "ingest_date"), server="string",
+                  edit_delta="bigint", user="string")
+
+
 @_query
 def ingest_all(spark, sf):
     """Payload texts of four sources through the ingest stage, run twice, to the raw table."""

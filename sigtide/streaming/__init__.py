@@ -2,7 +2,7 @@
 
 from sigtide.streaming.jobs import (
     dedup_stream, geo_stream, market_stream, run_live, run_recomputed, run_to_table,
-    sentiment_stream, stream_raw, write_raw_stream)
+    sentiment_stream, stream_changes, stream_raw, write_raw_stream)
 
 __all__ = ["dedup_stream", "geo_stream", "market_stream", "run_live", "run_recomputed",
-           "run_to_table", "sentiment_stream", "stream_raw", "write_raw_stream"]
+           "run_to_table", "sentiment_stream", "stream_changes", "stream_raw", "write_raw_stream"]

@@ -15,6 +15,7 @@ from sigtide.operators.model import RegimeModel, predict_latest
 from sigtide.sources.normalize import normalize_wikipedia
 from sigtide.sources.raw import feed_name
 from sigtide.sources.tables import publish_signal, read_optional, upsert_daily
+from sigtide.streaming.changes import read_changes
 
 ONCE = {"availableNow": True}
 
@@ -30,6 +31,14 @@ def stream_raw(spark: SparkSession, landing: str, keywords: Sequence[str] = K.MA
     return normalize_wikipedia(lines, keywords=keywords)
 
 
+def stream_changes(spark: SparkSession, landing: str, keywords: Sequence[str] = K.MACRO_EDIT_KEYWORDS,
+                   **options: object) -> DataFrame:
+    """Captured server-sent blocks, normalised as they arrive; blocks may be split over files."""
+    blocks = read_changes(spark, landing, **options)
+    return normalize_wikipedia(blocks.select(F.concat(F.lit("data: "), "data").alias("value")),
+                               keywords=keywords)
+
+
 def dedup_stream(records: DataFrame, key: str = "id", watermark: str | None = "2 days",
                  timestamp: str = "timestamp") -> DataFrame:
     """Keep the first record per id.

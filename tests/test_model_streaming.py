@@ -6,6 +6,8 @@ import datetime as dt
 import itertools
 import json
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -15,6 +17,7 @@ from sigtide import streaming
 from sigtide.operators import backtest, features, model, shapley
 from sigtide.plans import serve, stages
 from sigtide.sources import raw, tables
+from sigtide.streaming import changes
 
 DAY = dt.date(2024, 1, 1)
 QUICK = model.TrainParams(trees=10)
@@ -204,6 +207,41 @@ def test_raw_stream(spark, tmp_path):
     assert (r.title, r.feed, str(r.ingest_date)) == ("GDP", "wikipedia", "2024-01-01")
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_blocks_of_a_change_stream(tmp_path, monkeypatch, seed):
+    """However the bytes are cut into files, ranges and reads, every whole block comes once, in order."""
+    rng = random.Random(seed)
+    end = rng.choice(["\n", "\r\n"])
+    parts = []
+    for k in range(60):
+        lines = [f"id: {k}", ": note", *[f"data: é{k}-{i}" for i in range(rng.randint(0, 3))], "event:x"]
+        rng.shuffle(lines)
+        parts.append(end.join(lines) + end * rng.choice([2, 2, 3, 7]))
+    whole = "".join(parts).encode()
+    want = [x for x in (changes.parse_block(b) for b in re.split(rb"(?:\r?\n){2,}", whole)) if x]
+    raw_bytes = whole + b"id: open" + end.encode() + b"data: not ended"
+    cuts = sorted(rng.sample(range(1, len(raw_bytes)), 5))
+    for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(raw_bytes)], strict=True)):
+        (tmp_path / f"f{i}").write_bytes(raw_bytes[a:b])
+    (tmp_path / "_ignored").write_bytes(b"data: no" + end.encode() * 2)
+    monkeypatch.setattr(changes, "STEP", rng.choice([3, 17, 1 << 20]))
+    reader = changes.ChangeReader({"path": str(tmp_path), "range": str(rng.choice([1, 7, 50, 1 << 20]))})
+
+    def rows_between(start, stop):
+        return [r for p in reader.partitions(start, stop) for r in reader.read(p)]
+
+    middle = {"file": None, "byte": 0}
+    last = reader.latestOffset()
+    assert rows_between(middle, last) == want and len(want) > 30
+    assert reader.latestOffset() == last and rows_between(last, last) == []
+    # the open block comes when its end does, in a file of its own
+    (tmp_path / "f9").write_bytes(end.encode() * 2 + b"data: last" + end.encode() * 2)
+    after = reader.latestOffset()
+    assert rows_between(last, after) == [("open", None, "not ended"), (None, None, "last")]
+    again = changes.ChangeReader({"path": str(tmp_path)})
+    assert list(r for p in again.partitions(last, again.latestOffset()) for r in again.read(p)) == rows_between(last, after)
+
+
 def test_live_loop_publishes(spark, tmp_path, trained, labelled):
     fitted, _ = trained
     paths = {x: str(tmp_path / x) for x in ("matrix", "signals", "state", "messages", "ticks")}
