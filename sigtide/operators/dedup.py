@@ -7,20 +7,34 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DataType, MapType, StructField, StructType, VariantType)
 
 from sigtide.session import materialised
 
 
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, MapType | VariantType)
+
+
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in ``order``; rows without an order value come last.
 
-    An aggregate, not a ``row_number`` window: each map task already reduces its copies to one
-    row, so a key that holds a third of the table sends one row per task through the shuffle.
+    Rows that tie are ordered by all their columns, so the row that stays never depends on how the
+    table is read (columns without an order take part as their JSON text). An aggregate, not a
+    ``row_number`` window: each map task already reduces its copies to one row, so a key that holds
+    a third of the table sends one row per task through the shuffle.
     """
     rest = [c for c in df.columns if c != key]
-    first = F.min_by(
-        F.struct(*rest), F.struct(F.col(order).isNull().alias("last"), F.col(order))).alias("_first")
+    ties = [F.col(c) if _orderable(df.schema[c].dataType) else F.to_json(F.struct(c))
+            for c in rest if c != order]
+    first = F.min_by(F.struct(*rest), F.struct(
+        F.col(order).isNull().alias("last"), F.col(order), *[
+            t.alias(f"tie{k}") for k, t in enumerate(ties)])).alias("_first")
     return df.groupBy(key).agg(first).select(key, "_first.*").select(*df.columns)
 
 

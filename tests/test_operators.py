@@ -40,6 +40,18 @@ def test_first_copy_wins_even_for_a_hot_key(spark, rows):
     assert rows(dedup.dedup_existing(once, stored)) == rows(once)
 
 
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    """Equal times: the row that stays is the same however the table is read."""
+    data = [("a", 5, f"t{i % 3}", {"q": f"x{i}"}, [i, 2]) for i in range(6)] + [("a", None, "a0", {}, []), ("b", None, "z", None, None)]
+    schema = "id string, seq int, title string, meta map<string,string>, list array<int>"
+    seen = set()
+    for seed in range(4):
+        rows_ = random.Random(seed).sample(data, len(data))
+        got = dedup.first_per_key(spark.createDataFrame(rows_, schema).repartition(1 + seed), "id", "seq")
+        seen.add(str(sorted(map(tuple, got.collect()))))
+    assert seen == {str([("a", 5, "t0", {"q": "x0"}, [0, 2]), ("b", None, "z", None, None)])}
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_consecutive_duplicates(spark, descending):
     rng = np.random.default_rng(3)
