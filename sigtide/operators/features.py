@@ -75,6 +75,11 @@ def geo_daily(events: DataFrame, date: str = "date") -> DataFrame:
         F.count_if(g < K.CONFLICT_BELOW).alias("conflict_events"),
         F.count_if(g > K.COOPERATION_ABOVE).alias("cooperation_events"),
         F.count(g).alias("total_events"))
+    return geo_scores(daily)
+
+
+def geo_scores(daily: DataFrame) -> DataFrame:
+    """Adds the conflict ratio and the clipped risk score to daily geopolitical aggregates."""
     ratio = F.col("conflict_events") / F.greatest(F.col("total_events"), F.lit(1))
     daily = daily.withColumn("conflict_ratio", ratio)
     risk = (F.col("mean_goldstein") * K.RISK_MEAN_WEIGHT

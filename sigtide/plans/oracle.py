@@ -628,9 +628,7 @@ def oracle_sql() -> dict[str, str]:
   sum(CASE WHEN source_type IN ('es', 'de') THEN 0 ELSE length(body) END)::BIGINT AS n_chars
   FROM docs d GROUP BY source, d.date, 3""", "docs")
     o["stream_daily"] = o["geo_daily"]
-    o["stream_recomputed"] = _sql(
-        f"SELECT {_D}, conflict_events, cooperation_events, total_events, {_r('conflict_ratio')} "
-        "FROM geo", "geo")
+    o["stream_recomputed"] = o["stream_merged"] = o["geo_daily"]
     o["stream_markets"] = o["market_scalar"]
     o["stream_sentiment"] = o["sentiment_daily"]
     o["raw_by_day"] = _sql("""SELECT source AS feed, CAST(d.date AS VARCHAR) AS ingest_date,

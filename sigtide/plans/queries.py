@@ -12,7 +12,7 @@ from sigtide import schemas, streaming
 from sigtide.functions import signals as rules
 from sigtide.functions import text as words
 from sigtide.operators import backtest, dedup, features, labels, model, sentiment, timeseries
-from sigtide.operators import topics, validation
+from sigtide.operators import states, topics, validation
 from sigtide.plans import bindings as B
 from sigtide.plans import serve, stages
 from sigtide.session import scratch_path
@@ -776,8 +776,20 @@ def stream_recomputed(spark, sf):
         streaming.run_recomputed(
             rows, store, build, path, scratch_path(spark, "recomputed-state"),
             source="late" if late else "live").awaitTermination()
-    return spark.read.parquet(path).select("date", "conflict_events", "cooperation_events",
-                                           "total_events", "conflict_ratio")
+    return spark.read.parquet(path).drop("year")
+
+
+@_query
+def stream_merged(spark, sf):
+    """Daily rows from states of three streams, two of them late; no event is read again."""
+    store, path = scratch_path(spark, "states"), scratch_path(spark, "merged")
+    for part in range(3):
+        rows = _stream_events(spark, sf).where(F.col("event_id") % 3 == part).select(
+            F.col("ts").cast("timestamp").alias("timestamp"), B.news_metadata().alias("metadata"))
+        streaming.run_merged(
+            rows, store, lambda r: states.geo_state(features.geo_fields(r)), states.geo_from_states, path,
+            scratch_path(spark, "merged-state"), source=f"part{part}").awaitTermination()
+    return spark.read.parquet(path).drop("year")
 
 
 @_query

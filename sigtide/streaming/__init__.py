@@ -1,8 +1,8 @@
 """Structured Streaming: ingestion, incremental deduplication, daily features, live signal."""
 
 from sigtide.streaming.jobs import (
-    dedup_stream, geo_stream, market_stream, run_live, run_recomputed, run_to_table,
-    sentiment_stream, stream_changes, stream_raw, write_raw_stream)
+    dedup_stream, geo_stream, market_stream, run_live, run_merged, run_recomputed,
+    run_to_table, sentiment_stream, stream_changes, stream_raw, write_raw_stream)
 
-__all__ = ["dedup_stream", "geo_stream", "market_stream", "run_live", "run_recomputed",
+__all__ = ["dedup_stream", "geo_stream", "market_stream", "run_live", "run_merged", "run_recomputed",
            "run_to_table", "sentiment_stream", "stream_changes", "stream_raw", "write_raw_stream"]

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sigtide import constants as K
-from sigtide.functions.parse import clip
-from sigtide.operators.features import market_daily
+from sigtide.operators.features import geo_scores, market_daily
 from sigtide.operators.model import RegimeModel, predict_latest
 from sigtide.sources.normalize import normalize_wikipedia
 from sigtide.sources.raw import feed_name
@@ -90,11 +89,7 @@ def geo_stream(events: DataFrame, timestamp: str = "timestamp", watermark: str =
         F.count_if(g < K.CONFLICT_BELOW).alias("conflict_events"),
         F.count_if(g > K.COOPERATION_ABOVE).alias("cooperation_events"),
         F.count(g).alias("total_events")])
-    ratio = F.col("conflict_events") / F.greatest(F.col("total_events"), F.lit(1))
-    daily = daily.withColumn("conflict_ratio", ratio)
-    return daily.withColumn("geopolitical_risk_score", clip(
-        F.col("mean_goldstein") * K.RISK_MEAN_WEIGHT
-        + F.col("conflict_ratio") * K.RISK_CONFLICT_WEIGHT, -1.0, 1.0))
+    return geo_scores(daily)
 
 
 def market_stream(records: DataFrame, timestamp: str = "fetched_at", watermark: str = "2 days",
@@ -131,6 +126,38 @@ def run_recomputed(records: DataFrame, store: str, build: Callable[[DataFrame],
             .trigger(**(trigger or ONCE)).start())
 
 
+def run_merged(records: DataFrame, store: str, state: Callable[[DataFrame], DataFrame],
+               build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+               untimed: str | None = None, timestamp: str = "timestamp", source: str = "live",
+               **trigger) -> StreamingQuery:
+    """Daily rows from merged states: a late batch adds its state to a day, whose rows are not read again.
+
+    ``state`` turns records with a ``date`` into one row per day, stored by day and ``batch``; ``build``
+    turns stored states into daily rows, which replace the stored days. No watermark: a record may be
+    late by any time. A batch that is replayed after a failure overwrites its own states. Records
+    without a time belong to no day; they go to the table ``untimed``, if one is given, by batch.
+    """
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        name = f"{source}-{batch_id}"
+        rows = batch.withColumn("date", F.to_date(timestamp))
+        if untimed:
+            (batch.where(F.to_date(timestamp).isNull()).withColumn("batch", F.lit(name)).write
+                .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
+                .parquet(untimed))
+        (state(rows.where(F.col("date").isNotNull())).withColumn("batch", F.lit(name)).write
+            .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch")
+            .parquet(store))
+        stored = read_optional(batch.sparkSession, store)
+        if stored is None or "date" not in stored.columns:
+            return
+        touched = stored.where(F.col("batch") == name).select("date").distinct()
+        if not touched.isEmpty():
+            upsert_daily(build(stored.join(touched, "date", "left_semi")), path)
+
+    return (records.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or ONCE)).start())
+
+
 def run_to_table(daily: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Upsert updated days into a daily table after every batch.
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigtide import streaming
-from sigtide.operators import backtest, features, model, shapley
+from sigtide.operators import backtest, features, model, shapley, states
 from sigtide.plans import serve, stages
 from sigtide.sources import raw, tables
 from sigtide.streaming import changes
@@ -207,6 +207,35 @@ def test_raw_stream(spark, tmp_path):
     assert (r.title, r.feed, str(r.ingest_date)) == ("GDP", "wikipedia", "2024-01-01")
 
 
+def test_states_merge_to_the_batch_table(spark, tmp_path):
+    """Batches in any order, replays and rows without a time: the same as all rows at once."""
+    rng = np.random.default_rng(6)
+    rows_ = [(None if i % 17 == 0 else dt.datetime(2024, 1, 1 + int(rng.integers(0, 4)), 5), float(1e6 + rng.normal()),
+              None if i % 5 == 0 else float(rng.normal())) for i in range(200)]
+    rows_ += [(dt.datetime(2024, 2, 1), 3.0, None)]
+    schema = "timestamp timestamp, goldstein_scalar double, tone_scalar double"
+    df = spark.createDataFrame(rows_, schema)
+    want = {r["date"]: r for r in features.geo_daily(df.withColumn("date", F.to_date("timestamp"))).collect() if r["date"]}
+    land, store, path, side = (str(tmp_path / x) for x in ("land", "store", "daily", "untimed"))
+    (tmp_path / "land").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land)
+
+    def run(log):
+        streaming.run_merged(stream, store, states.geo_state, states.geo_from_states, path,
+                             str(tmp_path / log), side).awaitTermination()
+
+    for part in range(4):
+        spark.createDataFrame(rows_[part::4], schema).coalesce(1).write.mode("append").parquet(land)
+        run("log")
+    run("new-log")  # every batch comes again under its old name
+    got = {r["date"]: r for r in tables.daily_table(spark, path).collect()}
+    assert set(got) == set(want)
+    for d, w in want.items():
+        for c in w.asDict():
+            assert got[d][c] == (pytest.approx(w[c], rel=1e-9, abs=1e-9) if isinstance(w[c], float) else w[c]), (d, c)
+    assert spark.read.parquet(side).count() == sum(t is None for t, _, _ in rows_)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_blocks_of_a_change_stream(tmp_path, monkeypatch, seed):
     """However the bytes are cut into files, ranges and reads, every whole block comes once, in order."""
