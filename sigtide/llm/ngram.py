@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtide.llm.graph import components, forest
-from sigtide.llm.arrow import extended, map_arrow
+from sigtide.llm.arrow import extended, map_arrow, release
 from sigtide.llm.cells import KeyFilter
 from sigtide.llm.words import SHINGLE, Words, find_words, mix, powers, shingles, slices
 from sigtide.session import materialised
@@ -179,7 +179,9 @@ def _verify_blocks(sets: DataFrame, width: int, threshold: tuple[int, int]) -> D
         root = forest(len(node), np.concatenate([*a, np.arange(len(node))]),
                       np.concatenate([*b, root]))
         some = np.flatnonzero(links)
-        return pa.table({"node": node[some], "links": links[some], "root": node[root[some]]})
+        out = pa.table({"node": node[some], "links": links[some], "root": node[root[some]]})
+        release()
+        return out
 
     return sets.groupBy("_set", "_p", "_q").applyInArrow(run, "node long, links long, root long")
 
