@@ -50,12 +50,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     other = materialised(rows.join(first, "_group", "left").select(
         "_key", (F.col("_key") == F.coalesce("_first", "_group")).alias("_kept"), "_rows").where(
         "not _kept or _rows > 1").select("_key", "_kept"), "row-verdicts")
-    asked, alone = KeyFilter(other, key).split(keyed, key)
-    marked = asked.join(other, "_key", "left")
+    # every row meets its verdict by one shuffle: clearing rows by a filter here too moves less, but the
+    # executors then stay at a size that leaves packing too little memory (figures in the README)
+    marked = keyed.join(other, "_key", "left")
     copies = marked.where("_kept").groupBy("_key").agg(
         F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return alone.select(*docs.columns).unionByName(
-        marked.where("_kept is null").select(*docs.columns)).unionByName(copies)
+    return marked.where("_kept is null").select(*docs.columns).unionByName(copies)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
