@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from sigtide.llm import pretoken
-from sigtide.llm.arrow import extended, map_arrow
+from sigtide.llm.arrow import BATCH_ROWS, extended, map_arrow
 
 CAPACITY = 1024
 WINDOW = 4096
@@ -91,6 +91,9 @@ def pack(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text:
         kept: list[pa.RecordBatch] = []
         tokens: list[np.ndarray] = []
 
+        def sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            return (rows.slice(k, BATCH_ROWS) for k in range(0, rows.num_rows, BATCH_ROWS))
+
         def flush() -> pa.RecordBatch:
             nonlocal sequence, kept, tokens
             size = np.array([len(t) for t in tokens], np.int64)
@@ -116,7 +119,7 @@ def pack(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text:
             names = [*keep, *_PIECE]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum(rows[:, 2])]).astype(np.int32)
-                flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+                flat = np.concatenate(parts).view(np.int32) if parts else np.zeros(0, np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 names.append("ids")
             kept, tokens = [], []
@@ -140,9 +143,9 @@ def pack(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text:
                     kept.append(other.slice(i, n))
                     i += n
                     if len(tokens) >= window or held >= window * capacity:
-                        yield flush()
+                        yield from sliced(flush())
                         held = 0
         if tokens:
-            yield flush()
+            yield from sliced(flush())
 
     return map_arrow(frame, run, schema)

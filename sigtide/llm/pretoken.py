@@ -10,6 +10,7 @@ string or a code point this Python does not know are encoded whole by the librar
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from functools import cache
 
@@ -19,6 +20,7 @@ from sigtide.llm.words import span_hashes
 
 SLICE_CHARS = 1 << 19
 CACHE_SLOTS = 1 << 21  # a worker's table is emptied when half full
+LIBRARY_PIECES = 1024  # pieces in one call of the library, whose results are larger than their ids
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END, _UNKNOWN = range(6)
 # fixed values: the code points with the property White_Space
@@ -112,6 +114,8 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        # a task has one core: threads of the library would take those of other tasks, and memory each
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.added = [t["content"] for t in json.load(f)["added_tokens"]]
@@ -126,7 +130,9 @@ class Encoder:
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pre-tokens or whole texts, by the library."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [e.ids for i in range(0, len(pieces), LIBRARY_PIECES)
+                for e in self.tokenizer.encode_batch_fast(pieces[i:i + LIBRARY_PIECES],
+                                                          add_special_tokens=False)]
 
     def _learn(self, joined, start, stop, hashes) -> None:
         got = self.encode_pieces([joined[a:b] for a, b in zip(start.tolist(), stop.tolist(),
