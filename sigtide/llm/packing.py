@@ -4,14 +4,13 @@ Every task packs the documents it reads, ``window`` open ends at a time, so noth
 memory does not depend on the input. A document is tokenised whole and closed by the id 0. Full
 sequences are cut off its front; the rest is one open piece. The open pieces of a window are placed
 in order of falling cost ``linear * n + quadratic * n * n`` (attention inside a piece), each into
-the sequence of lowest cost among those with room; when none of the cheapest ``tries`` has room
-for the whole piece, it is cut to fill the cheapest. A window opens no more sequences than its
-tokens need, so only its last tokens are padded.
+the sequence of lowest cost among those with room for it; only when none has, the piece is cut to
+fill the cheapest with any room. A window opens no more sequences than its tokens need, so only
+its last tokens are padded.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -26,42 +25,31 @@ from sigtide.llm.arrow import BATCH_ROWS, extended, map_arrow
 CAPACITY = 1024
 WINDOW = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-TRIES = 32
 END = 0
 
 
 def place(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR,
-          quadratic: float = QUADRATIC, tries: int = TRIES) -> list[tuple[int, int, int, int, int]]:
+          quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
     """(item, start, length, sequence, offset) that place items of at most ``capacity`` tokens.
 
     Uses ceil(sum / capacity) sequences. Ties in cost go to the lower item and sequence number.
     """
-    cost = lambda n: linear * n + quadratic * n * n
+    cost = linear * np.arange(capacity + 1) + quadratic * np.arange(capacity + 1.0) ** 2
     count = -(-int(sizes.sum()) // capacity)
-    heap = [(0.0, k) for k in range(count)]
-    used = [0] * count
+    spent, room = np.zeros(count), np.full(count, capacity, np.int64)
     out = []
     for item in np.argsort(-sizes, kind="stable").tolist():
         start, left = 0, int(sizes[item])
         while left:
-            passed, chosen = [], None
-            while heap and len(passed) < tries:
-                low = heapq.heappop(heap)
-                if capacity - used[low[1]] >= left:
-                    chosen = low
-                    break
-                passed.append(low)
-            if chosen is None:
-                chosen = passed.pop(0)
-            for other in passed:
-                heapq.heappush(heap, other)
-            spent, k = chosen
-            take = min(left, capacity - used[k])
-            out.append((item, start, take, k, used[k]))
-            used[k] += take
+            fits = np.where(room >= left, spent, np.inf)
+            k = int(fits.argmin())
+            if fits[k] == np.inf:  # no sequence has room for all of it
+                k = int(np.where(room > 0, spent, np.inf).argmin())
+            take = min(left, int(room[k]))
+            out.append((item, start, take, k, capacity - int(room[k])))
+            room[k] -= take
+            spent[k] += cost[take]
             start, left = start + take, left - take
-            if used[k] < capacity:
-                heapq.heappush(heap, (spent + cost(take), k))
     return out
 
 

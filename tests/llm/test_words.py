@@ -8,6 +8,8 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sigtide.llm import licenses, packing, pretoken, words
 from sigtide.llm.queries import vocabulary
@@ -121,3 +123,29 @@ def test_lowest_cost_first():
     # two large items open both sequences, the next goes to the cheaper one
     placed = packing.place(np.array([600, 500, 300, 200]))
     assert {(i, k) for i, _, _, k, _ in placed} == {(0, 0), (1, 1), (2, 1), (3, 0)}
+
+
+@given(st.lists(st.integers(1, 1024), min_size=1, max_size=120), st.sampled_from([0.0, 1 / 1024, 1.0]))
+@settings(max_examples=60, deadline=None)
+def test_place_follows_the_plain_rule(sizes, quadratic):
+    """Falling sizes, each to the cheapest sequence with room; cut only where none has room."""
+    count = -(-sum(sizes) // packing.CAPACITY)
+    sequences, want = [[] for _ in range(count)], []
+    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        start, left = 0, sizes[item]
+        while left:
+            room = [packing.CAPACITY - sum(s) for s in sequences]
+            able = [k for k in range(count) if room[k] >= left] or [k for k in range(count) if room[k]]
+            k = min(able, key=lambda k: (sum(n + quadratic * n * n for n in sequences[k]), k))
+            take = min(left, room[k])
+            want.append((item, start, take, k, sum(sequences[k])))
+            sequences[k].append(take)
+            start, left = start + take, left - take
+    assert packing.place(np.array(sizes, np.int64), quadratic=quadratic) == want
+
+
+def test_place_looks_past_many_cheap_sequences():
+    """Forty cheaper sequences have room for 14 tokens; the dearest one takes the piece whole."""
+    placed = packing.place(np.array([900] + [505] * 80 + [100], np.int64))
+    assert [p for p in placed if p[0] == 81] == [(81, 0, 100, 0, 900)]
+    assert len(placed) == 82
