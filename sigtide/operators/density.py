@@ -16,10 +16,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
+from sigtide.functions.text import TOKEN_BREAK
 from sigtide.session import materialised
 
 BLOCK = 1024  # points of a block, on average
@@ -37,6 +41,23 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_points(df: DataFrame, column: str = "body", dims: int = 5, width: int = 512,
+                out: str = "embedding") -> DataFrame:
+    """Rows with a point of few dimensions per whole text: principal axes of normalised TF-IDF counts.
+
+    Words are hashed to ``width`` columns; the axes come from all rows by one aggregation of a matrix of
+    ``width`` squared. A NULL text counts as empty, and empty texts lie at the origin.
+    """
+    words = df.withColumn("_text", F.coalesce(column, F.lit("")))
+    fitted = Pipeline(stages=[
+        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=TOKEN_BREAK),
+        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=width),
+        IDF(inputCol="_counts", outputCol="_weights"),
+        Normalizer(inputCol="_weights", outputCol="_unit"),
+        PCA(inputCol="_unit", outputCol="_axes", k=dims)]).fit(words)
+    return fitted.transform(words).select(*df.columns, vector_to_array("_axes").alias(out))
+
+
 class _Cells:
     """Points placed at their nearest pivot, in blocks, with the reach of every cell."""
 
@@ -210,16 +231,12 @@ def density_radii(cores: DataFrame, levels: int = 10) -> list[float]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the edges (a, b); ``comp`` is the smallest node it reaches.
 
-    Alternates large and small stars until the edges stay as they are; each round is one stored table,
-    and a node never gathers its neighbours.
+    Alternates large and small stars until only stars are left; each round is one stored table, and a
+    node never gathers its neighbours.
     """
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).head())
-
-    stars = materialised(edges.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "density-edges")
-    seen = mark(stars)
-    while seen[0]:
+    stars = edges.where("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low"))
         large = both.join(low, "a").where("b > a").select(
@@ -227,11 +244,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where(
             "a <> b").unionByName(low.select("a", F.col("low").alias("b"))).distinct()
-        stars = materialised(small, "density-edges")
-        now = mark(stars)
-        if now == seen:
+        stars = materialised(small, "density-stars")
+        # a star: no node has two targets, and none that has one is a target
+        ends = stars.select(F.col("a").alias("n"), F.lit(1).alias("from")).unionByName(
+            stars.select(F.col("b").alias("n"), F.lit(None).cast("int").alias("from")))
+        if ends.groupBy("n").agg(F.count("from").alias("out"), F.count(F.lit(1)).alias("all")).where(
+                "out > 1 or (out = 1 and all > 1)").isEmpty():
             break
-        seen = now
     names = stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return names.unionByName(roots)
@@ -240,13 +259,17 @@ def components(edges: DataFrame) -> DataFrame:
 def _hierarchy(points: DataFrame, edges: DataFrame, levels: int) -> list[DataFrame]:
     """Per radius the components (and points new at it) below, the component they join, and their rows."""
     ups: list[DataFrame] = []
+    linked = {r["level"] for r in edges.select("level").distinct().collect()}  # at most one per radius
     for t in range(levels):
         active = points.where(F.col("entry") == t).select(
             F.col("node").alias("comp"), F.col("weight").alias("size"), F.lit(True).alias("new"))
         if ups:
             active = active.unionByName(ups[-1].groupBy(F.col("to").alias("comp")).agg(
                 F.sum("size").alias("size"), F.lit(False).alias("new")))
-        stars = materialised(components(edges.where(F.col("level") == t)), "density-stars")
+        if t not in linked:
+            ups.append(materialised(active.withColumn("to", F.col("comp")), "density-level"))
+            continue
+        stars = components(edges.where(F.col("level") == t))
         ups.append(materialised(active.join(
             stars.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
             .withColumn("to", F.coalesce("to", "comp")), "density-level"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from sigtide import schemas, streaming
 from sigtide.functions import signals as rules
 from sigtide.functions import text as words
-from sigtide.operators import backtest, dedup, features, labels, model, sentiment, timeseries
+from sigtide.operators import backtest, dedup, density, features, labels, model, sentiment, timeseries
 from sigtide.operators import states, topics, validation
 from sigtide.plans import bindings as B
 from sigtide.plans import serve, stages
@@ -977,3 +977,10 @@ def topic_fit_text(spark, sf):
     _, assigned = topics.fit_assigned(docs, "lda", "body", 8)
     return assigned.groupBy("date", "topic_id").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def topic_density(spark, sf):
+    """Topics of the document texts by density: their number is found, thin places are noise."""
+    points = density.text_points(B.documents(spark, sf).select("doc_id", "body"))
+    return density.density_topics(points.drop("body")).select("doc_id", "topic_id", "topic_prob")
