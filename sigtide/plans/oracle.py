@@ -640,6 +640,13 @@ def oracle_sql() -> dict[str, str]:
         for feed, what in (("reddit", "*"), ("gdelt", "DISTINCT id"), ("fred", "*"),
                            ("edgar", "*")))
     o["stream_dedup"] = "SELECT DISTINCT user_id AS id FROM events"
+    o["stream_first"] = """WITH e AS (SELECT *, (event_id + 1) % 3 AS part,
+  row_number() OVER (PARTITION BY user_id ORDER BY (event_id + 1) % 3, ts, event_id) AS i FROM events),
+f AS (SELECT * FROM e WHERE i = 1)
+SELECT f.user_id, f.event_id, epoch_us(f.ts) AS micros, f.event_type, round(f.value, 6) + 0.0 AS value, f.props,
+  count(*) FILTER (e.i > 1 AND (e.part = f.part OR e.ts >= f.ts)) AS n_repeat,
+  count(*) FILTER (e.part > f.part AND e.ts < f.ts) AS n_late
+FROM f JOIN e USING (user_id) GROUP BY ALL"""
     # model
     o["training_labels"] = _sql(
         f"SELECT {_D}, n_orders, {_r('quantity')}, {_r('vix')}, regime FROM ("

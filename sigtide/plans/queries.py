@@ -829,6 +829,26 @@ def stream_dedup(spark, sf):
     return spark.read.schema(unique.schema).parquet(path)
 
 
+@_query
+def stream_first(spark, sf):
+    """First event per user, whole, with how many repeated and late ones lie beside it. Events land in
+    three parts; the stream is started anew for each and goes on from its state."""
+    landed, path, checkpoint = (scratch_path(spark, n) for n in ("landed", "first", "first-state"))
+    events = B.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (2, 0, 1):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(landed)
+        streaming.run_first_records(
+            spark.readStream.schema(events.schema).parquet(landed), path, checkpoint, "user_id",
+            "ts").awaitTermination()
+    stored = spark.read.parquet(path)
+    beside = stored.where("status <> 'first'").groupBy("user_id").agg(
+        F.count_if(F.col("status") == "repeat").alias("n_repeat"),
+        F.count_if(F.col("status") == "late").alias("n_late"))
+    return stored.where("status = 'first'").join(beside, "user_id", "left").select(
+        "user_id", "event_id", F.unix_micros("ts").alias("micros"), "event_type", "value", "props",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_repeat", "n_late")])
+
+
 # ---- model ---------------------------------------------------------------------------------------
 
 def _training(spark, sf):
