@@ -1002,5 +1002,5 @@ def topic_fit_text(spark, sf):
 @_query
 def topic_density(spark, sf):
     """Topics of the document texts by density: their number is found, thin places are noise."""
-    points = density.text_points(B.documents(spark, sf).select("doc_id", "body"))
-    return density.density_topics(points.drop("body")).select("doc_id", "topic_id", "topic_prob")
+    points = density.text_points(B.documents(spark, sf), keep=["doc_id"])
+    return density.density_topics(points).select("doc_id", "topic_id", "topic_prob")

@@ -110,3 +110,21 @@ def test_components_of_a_chain(spark):
     assert {r["node"]: r["comp"] for r in got.collect()} == {
         **dict.fromkeys(range(41), 0), **dict.fromkeys([100, 103, 107], 100)}
     assert got.count() == 44
+
+
+def test_points_meet_few_blocks(spark, monkeypatch):
+    """Far outliers make no other point meet more blocks; core distances are those of all pairs."""
+    monkeypatch.setattr(density, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.uniform(0, 1, (800, 2)), [[50.0, -70.0], [-90.0, 40.0]]])
+    points = spark.createDataFrame([(i, [float(v) for v in p], 1) for i, p in enumerate(x)],
+                                   "node long, x array<double>, weight long")
+    cells = density._Cells(points)
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = np.sort(gaps, axis=1)[:, 3]
+    got = {r["node"]: r["core"] for r in density.core_distances(cells, 4).collect()}
+    assert got == pytest.approx(dict(enumerate(want)))
+    kernel = density._near_inside(4, *cells.boxes(cells.points))
+    asked = [len(c) for _, part in cells.points.toPandas().groupby("block") for c in kernel(part)["cells"]]
+    assert cells.count > 50 and len(asked) == 802
+    assert np.mean(asked) < 8
