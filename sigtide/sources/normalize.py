@@ -20,11 +20,15 @@ from sigtide.functions.text import (
 
 
 def parse_payload(df: DataFrame, schema, column: str = "value") -> DataFrame:
-    """Text payloads to columns; rows that do not parse are dropped."""
+    """Text payloads to columns; rows that do not parse are dropped.
+
+    The parsed payload is the one element of an exploded array: conditions on it stay above, where
+    they read it, instead of moving below and parsing the text (and making it) again.
+    """
     doc = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
     rest = [c for c in df.columns if c != column]
-    return df.select(*rest, doc.alias("_doc")).where(F.col("_doc").isNotNull()).select(
-        *rest, "_doc.*")
+    return df.select(*rest, F.explode(F.array(doc)).alias("_doc")).where(
+        F.col("_doc").isNotNull()).select(*rest, "_doc.*")
 
 
 def _meta(**fields: Column) -> Column:
@@ -92,7 +96,8 @@ def normalize_gdelt(df: DataFrame, query: Column | str) -> DataFrame:
 def number_text(value: Column) -> Column:
     """All digits of a double without an exponent: ``5`` for 5.0.
 
-    The cast gives the digits and perhaps an exponent; the exponent moves the decimal point.
+    The cast gives the digits and perhaps an exponent; the exponent moves the decimal point. Numbers
+    shown without one only lose the zeros at their end.
     """
     shown = F.abs(value).cast("string")
     whole = F.regexp_extract(shown, r"^([0-9]+)", 1)
@@ -107,7 +112,9 @@ def number_text(value: Column) -> Column:
     text = F.concat(F.substring(padded, F.lit(1), at), F.lit("."),
                     F.substring(padded, at + 1, F.length(padded)))
     plain = F.regexp_replace(F.regexp_replace(text, r"\.?0*$", ""), r"^0+(?=[0-9])", "")
-    return F.concat(F.when(value < 0, "-").otherwise(""), plain)
+    ready = F.contains(shown, F.lit(".")) & ~F.contains(shown, F.lit("E"))
+    short = F.rtrim(F.rtrim(shown, F.lit("0")), F.lit("."))
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.when(ready, short).otherwise(plain))
 
 
 def normalize_fred(df: DataFrame, series: Column | str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sigtide import constants as K
 from sigtide import schemas
 from sigtide.plans import stages
-from sigtide.sources import normalize, raw, tables
+from sigtide.sources import ingest, normalize, raw, tables
 from sigtide.sources.backfill import backfill
 
 
@@ -231,3 +231,16 @@ def test_run_log_appends(spark, tmp_path, rows):
     got = spark.read.schema(schemas.RUN_LOG).parquet(path)
     assert rows(got, "stage", "status", "records_processed", "notes") == [
         ("predict", "failed", None, "why"), ("train", "ok", 5, None)]
+
+
+def test_payloads_are_parsed_once(spark, capsys):
+    """Conditions on a parsed payload do not parse its text again."""
+    landed = spark.range(3).select(F.lit("S").alias("tag"), F.to_json(F.struct(F.array(F.struct(
+        F.lit("2024-01-01").alias("date"), F.col("id").cast("string").alias("value"))).alias(
+        "observations"))).alias("value"))
+    for name in ("fred", "gdelt", "edgar", "reddit"):
+        ingest.SOURCES[name](landed).explain()
+        assert capsys.readouterr().out.count("from_json(") == 1, name
+    assert sorted(r.title for r in ingest.SOURCES["fred"](landed).collect()) == ["S = 0", "S = 1", "S = 2"]
+    broken = spark.createDataFrame([("S", "{broken"), ("S", None), ("S", "[]")], "tag string, value string")
+    assert ingest.SOURCES["fred"](broken).collect() == []
