@@ -18,9 +18,13 @@ def _tagged(schema, build: Callable) -> Callable[[DataFrame], DataFrame]:
 
 
 def _news(landed: DataFrame) -> DataFrame:
-    """One article answers several queries: the first record of an id stays."""
+    """One article answers several queries: the first record of an id stays.
+
+    The body is the title, so it is left out of the comparison and its shuffle.
+    """
     rows = normalize.normalize_gdelt(parse_payload(landed, schemas.GDELT_PAYLOAD), F.col("tag"))
-    return first_per_key(rows, "id", "timestamp")
+    first = first_per_key(rows.drop("body"), "id", "timestamp")
+    return first.withColumn("body", F.col("title")).select(*rows.columns)
 
 
 # ``tag`` is the sort order, query, series or form a payload was asked with

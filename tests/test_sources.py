@@ -244,3 +244,16 @@ def test_payloads_are_parsed_once(spark, capsys):
     assert sorted(r.title for r in ingest.SOURCES["fred"](landed).collect()) == ["S = 0", "S = 1", "S = 2"]
     broken = spark.createDataFrame([("S", "{broken"), ("S", None), ("S", "[]")], "tag string, value string")
     assert ingest.SOURCES["fred"](broken).collect() == []
+
+
+def test_news_text_is_compared_once(spark, capsys):
+    """The body of a news record repeats its title and does not travel beside it."""
+    articles = [{"seendate": "20240105T101500Z", "url": "u", "title": t, "tone": n}
+                for t, n in (("b", 1.0), ("a", 2.0), ("a", 1.0), ("a", None))]
+    landed = spark.createDataFrame([("q", json.dumps({"articles": [a]})) for a in articles], "tag string, value string")
+    found = ingest.SOURCES["gdelt"](landed)
+    assert found.columns == list(schemas.RAW_COLUMNS)
+    assert [(r.title, r.body, json.loads(r.metadata)["tone"]) for r in found.collect()] == [("a", "a", 1.0)]
+    found.explain()
+    keyed = [line for line in capsys.readouterr().out.splitlines() if "Aggregate(key=" in line]
+    assert keyed and not any("body" in line for line in keyed)
