@@ -8,14 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA, KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
 from sigtide.functions.text import TOKEN_BREAK, macro_label
+from sigtide.operators import lda
 from sigtide.session import materialised
 
 TOP_WORDS = 10
@@ -54,10 +55,9 @@ def fit_assigned(df: DataFrame, method: str = "kmeans", column: str = "embedding
             RegexTokenizer(inputCol=column, outputCol="_words", pattern=TOKEN_BREAK),
             HashingTF(inputCol="_words", outputCol="_features", numFeatures=width)])
         counted = materialised(words.transform(df).drop("_words").hint("rebalance"), "word-counts")
-        lda = LDA(featuresCol="_features", topicDistributionCol="_mix", k=k, seed=seed,
-                  maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(counted)
-        model = PipelineModel([*words.stages, lda])
-        mixed = lda.transform(counted).withColumn("_mix", vector_to_array("_mix"))
+        mixture = lda.fit(counted, "_features", k, seed, max_iter)
+        model = PipelineModel([*words.stages, mixture])
+        mixed = counted.withColumn("_mix", lda.shares(counted, mixture, "_features"))
     else:
         raise ValueError(f"unknown method {method!r}")
     found = materialised(_largest(mixed).select(*df.columns, "topic_id", "topic_prob"), "topics")
@@ -113,7 +113,9 @@ def assign_topics(fitted: TopicModel, df: DataFrame) -> DataFrame:
     if fitted.method == "kmeans":
         mixed = df.withColumn("_mix", _shares(fitted.model, fitted.column))
     else:
-        mixed = fitted.model.transform(df).withColumn("_mix", vector_to_array("_mix"))
+        *words, mixture = fitted.model.stages
+        counted = PipelineModel(words).transform(df)
+        mixed = counted.withColumn("_mix", lda.shares(df, mixture, "_features"))
     return _without_small(fitted, _largest(mixed).select(*df.columns, "topic_id", "topic_prob"))
 
 
