@@ -83,7 +83,8 @@ def _documents(features: pa.StructArray) -> tuple[np.ndarray, ...]:
 
 def _sums(counted: DataFrame, column: str, drawn_by: int, begun_by: int, weights: np.ndarray,
           alpha: np.ndarray) -> dict[int, np.ndarray]:
-    """A pass: per word the number of documents and the sums by topic, without its weights."""
+    """A pass: per word 0 and its sums by topic, not yet times its weights; ``KEPT`` has its
+    documents and the sums of their mean logarithms, ``DRAWN`` the documents drawn."""
     k, width = weights.shape
     shared = counted.sparkSession.sparkContext.broadcast(weights)
     names = ["n", *(f"s{i}" for i in range(k))]
