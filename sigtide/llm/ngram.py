@@ -202,8 +202,8 @@ def links(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     classes = materialised(found.where("_node is not null").groupBy(
         "_node").agg(F.min("_doc").alias("_rep"), F.count("*").alias("_n"),
                      F.min("_bands").alias("_bands")), "classes")
-    tied = components(bucket_edges(classes))
-    tied = materialised(tied.select(F.col("node").alias("_node"), F.col("root").alias("_set")), "tied")
+    tied = components(bucket_edges(classes)).select(
+        F.col("node").alias("_node"), F.col("root").alias("_set"))
     # one text of every tied class
     members = tied.join(classes.select("_node", "_rep", "_n"), "_node")
     texts = sketch_texts(docs, doc, text, members)

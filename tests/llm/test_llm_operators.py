@@ -72,6 +72,29 @@ def test_components(spark, seed):
     assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_plan_no_rounds_for_few_edges(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialised", lambda df, name, f=graph.materialised: (
+        written.append(name), f(df, name))[1])
+    # a long chain takes several rounds, and each gives the driver many stages to plan
+    edges = spark.createDataFrame([(i, i + 1) for i in range(-50, 50)], "src long, dst long")
+    got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
+    assert got == dict.fromkeys(range(-50, 51), -50)
+    assert written == ["edges", "roots"]
+
+
+@pytest.mark.parametrize("most", [0, 30])
+def test_components_in_rounds(spark, monkeypatch, most):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    pairs += [(100, 101 + i) for i in range(40)]
+    edges = spark.createDataFrame([*pairs, (None, 1), (5, 5)], "src long, dst long")
+    monkeypatch.setattr(graph, "ONE_TASK", most)  # 0: rounds to the end, 30: rounds as long as need be
+    got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
+    want = roots(200, pairs)
+    assert got == {x: want[x] for p in pairs for x in p if p[0] != p[1]}
+
+
 # ---- op1 -----------------------------------------------------------------------------------------
 
 def test_near_duplicates(spark):
